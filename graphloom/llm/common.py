@@ -105,3 +105,39 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The sum of values[offsets[i]:offsets[i + 1]] for each i; 0 for empty rows."""
     return np.diff(np.concatenate([[0], np.cumsum(values)])[offsets])
+
+
+#: Rows of (long, int) that are broadcast at most: some 20 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that labels (doc_id, ...; one row each) has, with its columns. Labels are broadcast if their counted size allows, else both sides are shuffled."""
+    small = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(labels) if small else labels, "doc_id")
+
+
+def hash_sample(labels: DataFrame, most: int) -> DataFrame:
+    """About `most` rows, chosen by the hash of doc_id; all rows where there are fewer."""
+    n = labels.count()
+    return labels if n <= most else labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
+#: A group is hot when it has more than one row in this many; so there are fewer hot groups than this.
+HOT_GROUPS = 2_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined with the group of each (every row has one; groups come with their row counts).
+
+    Groups with more than a 2,000th of all rows, fewer than 2,000 whatever the
+    input, are broadcast, so their rows stay where they are; the others meet
+    in a sort-merge join whose keys are all small. rows are read twice.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.col(size) * HOT_GROUPS > int(total)
+    if total < HOT_GROUPS or not groups.filter(hot).limit(1).count():
+        return rows.join(groups.hint("merge"), keys)
+    large = groups.filter(hot)
+    few = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.filter(~hot).hint("merge"), keys)
+    return rows.join(F.broadcast(large), keys).unionByName(few)

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import id_and_text, scratch_path
+from graphloom.llm.common import id_and_text, join_groups, scratch_path, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,33 +75,34 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def _indexed(rows: DataFrame, index: DigestIndex | None) -> DataFrame:
+    """Appends the rows' digests to the index (a new one if there is none) and returns (digest, keep_id, group_size) for them."""
+    spark = rows.sparkSession
+    index = index or DigestIndex(spark, scratch_path(spark, "digest-index"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    index.append(digest_groups(rows))
+    return spark.read.schema(DigestIndex.SCHEMA).parquet(index.path)  # as plain files, so that both sides of a join can be dealt anew
+
+
 def assign_survivors(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     With an index that already holds digests, documents whose text is known
-    get the id that the index keeps. The documents' digests meet the index
-    in a left sort-merge join whose document side adaptive execution may
-    split, so a hot digest does not land in one task.
+    get the id and the group size that the index keeps. Hot digests are
+    joined where their documents are, the others by sort-merge.
     """
-    spark = docs.sparkSession
-    rows = digests(docs)
-    index = index or DigestIndex(spark, scratch_path(spark, "digest-index"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    index.append(digest_groups(rows))
-    stored = spark.read.schema(DigestIndex.SCHEMA).parquet(index.path)  # read as plain files, so that both sides can be split where one digest is hot
-    out = rows.join(stored.hint("merge"), "digest", "left")
+    rows = written(digests(docs), "digests")
+    out = join_groups(rows, _indexed(rows, index), ["digest"], "group_size")
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    spark = docs.sparkSession
-    digest = f"digest_{uuid.uuid4().hex}"
-    marked = docs.withColumn(digest, text_digest(F.col("text")))
-    index = DigestIndex(spark, scratch_path(spark, "digest-index"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    index.append(digest_groups(digests(docs)))
-    kept = spark.read.schema(DigestIndex.SCHEMA).parquet(index.path).select(F.col("digest").alias(digest), F.col("keep_id").alias(f"keep_{digest}"))
-    stay = marked.join(kept, digest, "left").filter(F.coalesce(F.col("doc_id") == F.col(f"keep_{digest}"), F.col(f"keep_{digest}").isNull()))
-    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that stay, with all their columns. Only ids that go are joined with the documents; rows without an id stay where no other row of their text has one."""
+    fate = assign_survivors(docs)
+    gone = fate.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone_id")).distinct()
+    nameless = docs.filter(F.col("doc_id").isNull())
+    named = docs.filter(F.col("doc_id").isNotNull()).alias("d").join(gone, F.col("d.doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    orphan = fate.filter(F.col("keep_id").isNull()).select(F.col("text_sha256").alias("orphan_digest")).distinct()
+    return named.unionByName(nameless.alias("d").join(orphan, text_digest(F.col("d.text")) == F.col("orphan_digest"), "left_semi"))
 
 
 ORACLE_SQL = """

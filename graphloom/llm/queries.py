@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, exact_dedup, sharding
-from graphloom.llm.common import documents_of
+from graphloom.llm import bpe, decontaminate, exact_dedup, quality, sharding, toxicity
+from graphloom.llm.common import documents_of, table_of
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored_with_folds(documents_of(spark, sf_dir), table_of(spark, sf_dir, "labels"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +22,22 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents_of(spark, sf_dir))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only documents that overlap with the benchmark have rows."""
+    return decontaminate.overlapping(documents_of(spark, sf_dir), table_of(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents_of(spark, sf_dir)
+    return quality.grade_documents(docs, quality.train(docs, table_of(spark, sf_dir, "labels")))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents_of(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_byte_bpe, op9_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_byte_bpe, op5_decontamination, op8_quality, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

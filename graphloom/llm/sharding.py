@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import id_and_text, written
+from graphloom.llm.common import id_and_text, join_groups, written
 
 SHARDS = 40
 #: Bytes that each document takes besides its text.
@@ -120,21 +120,21 @@ def _combined(sums: DataFrame, shards: int, fan_in: int) -> DataFrame:
 
 
 def assign_groups(sized: DataFrame, shards: int = SHARDS, bucket_items: int = BUCKET_ITEMS, fan_in: int = 1_000) -> DataFrame:
-    """(key_a, key_b, shard) for groups given as (key_a, key_b, size).
+    """(key_a, key_b, shard) for groups given as (key_a, key_b, size), a written table.
 
     A group larger than a bucket's fair share cannot be made up for within
     its bucket. Such groups (fewer than shards x buckets) are placed first,
     among themselves; every bucket then gets an equal part of their sums as
     one more partial partition, and so levels its part of the difference.
     """
-    sized = written(sized, "shard-groups")
     n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(1, -(-n // bucket_items))
     load, first = None, None
     if buckets > 1:
         large = F.col("size") * (shards * buckets) > int(total)
         if sized.filter(large).limit(1).count():
-            first = written(sized.filter(large).join(assign_groups(sized.filter(large), shards, bucket_items, fan_in), ["key_a", "key_b"]), "shard-large")
+            few = sized.filter(large).select("key_a", "key_b", "size")
+            first = written(few.join(assign_groups(few, shards, bucket_items, fan_in), ["key_a", "key_b"]), "shard-large")
             held = {r["shard"]: r["s"] for r in first.groupBy("shard").agg(F.sum("size").alias("s")).collect()}  # a row for each shard
             load = np.array([held.get(k, 0) // buckets for k in range(shards)], np.int64)
             sized = sized.filter(~large)
@@ -166,8 +166,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bucket_items: int = B
     spark = docs.sparkSession
     rows = id_and_text(docs).select("doc_id", (F.octet_length("text") + ROW_BYTES).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), *text_key())
     rows = written(rows, "shard-rows")
-    groups = rows.groupBy("key_a", "key_b").agg(F.sum("size").alias("size"))
-    placed = rows.join(assign_groups(groups, shards, bucket_items).hint("merge"), ["key_a", "key_b"])
+    groups = written(rows.groupBy("key_a", "key_b").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "shard-groups")
+    homes = groups.select("key_a", "key_b", "rows").join(assign_groups(groups, shards, bucket_items), ["key_a", "key_b"])
+    placed = join_groups(rows, homes, ["key_a", "key_b"], "rows")
     blocks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = with_slots(placed.select("doc_id", "size", "text_crc32", "shard"), ["doc_id", "text_crc32", "size"], blocks)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
