@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, decontaminate, exact_dedup, quality, sharding, toxicity
+from graphloom.llm import bpe, decontaminate, exact_dedup, pii, quality, secrets, sharding, toxicity
 from graphloom.llm.common import documents_of, table_of
 
 
@@ -22,11 +22,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents_of(spark, sf_dir))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents_of(spark, sf_dir))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only documents that overlap with the benchmark have rows."""
     return decontaminate.overlapping(documents_of(spark, sf_dir), table_of(spark, sf_dir, "benchmark"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents_of(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_of(spark, sf_dir)
     return quality.grade_documents(docs, quality.train(docs, table_of(spark, sf_dir, "labels")))
@@ -37,7 +45,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_byte_bpe, op5_decontamination, op8_quality, op9_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_byte_bpe, op4_secrets, op5_decontamination, op7_personal_data, op8_quality, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
