@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, decontaminate, exact_dedup, pii, quality, secrets, sharding, toxicity
+from graphloom.llm import bpe, decontaminate, exact_dedup, near_dedup, pii, quality, secrets, sharding, toxicity
 from graphloom.llm.common import documents_of, table_of
 
 
@@ -44,8 +44,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents_of(spark, sf_dir))
 
 
+#: Percent of the union that two sets must share in op10.
+OP10_SIMILARITY = 85
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link_components(documents_of(spark, sf_dir), OP10_SIMILARITY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_byte_bpe, op4_secrets, op5_decontamination, op7_personal_data, op8_quality, op9_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_byte_bpe, op4_secrets, op5_decontamination, op7_personal_data, op8_quality, op9_sharding, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
