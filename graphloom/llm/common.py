@@ -117,6 +117,13 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(labels) if small else labels, "doc_id")
 
 
+def without_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that labels lacks; the counterpart of with_labels."""
+    small = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ids = labels.select("doc_id")
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+
+
 def hash_sample(labels: DataFrame, most: int) -> DataFrame:
     """About `most` rows, chosen by the hash of doc_id; all rows where there are fewer."""
     n = labels.count()

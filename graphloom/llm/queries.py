@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, decontaminate, exact_dedup, near_dedup, pii, quality, secrets, sharding, toxicity
+from graphloom.llm import bpe, decontaminate, exact_dedup, near_dedup, pii, quality, secrets, sharding, substring_dedup, toxicity
 from graphloom.llm.common import documents_of, table_of
 
 
@@ -31,6 +31,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlapping(documents_of(spark, sf_dir), table_of(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(documents_of(spark, sf_dir))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents_of(spark, sf_dir))
 
@@ -53,7 +57,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_byte_bpe, op4_secrets, op5_decontamination, op7_personal_data, op8_quality, op9_sharding, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_byte_bpe, op4_secrets, op5_decontamination, op6_substring_dedup, op7_personal_data, op8_quality, op9_sharding, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
