@@ -272,7 +272,7 @@ def random_walk(edges: DataFrame, ids: DataFrame, seeds: DataFrame, restart: flo
     """(id, score): random walk with restart over the undirected rank edges between ids; parallel edges count each, a node without edges keeps its mass."""
     known = materialise(ids.select("id").distinct(), "walk")
     links = edges.filter(F.col("kind").isin(*RANK_KINDS)).select("source", "target").join(known.toDF("source"), "source", "left_semi").join(known.toDF("target"), "target", "left_semi")
-    links = materialise(links.union(links.select("target", "source")), "walk")
+    links = materialise(links.select("source", "target").union(links.select(F.col("target").alias("source"), F.col("source").alias("target"))), "walk")
     degree = links.groupBy("source").agg(F.count(F.lit(1)).alias("degree"))
     chosen = seeds.select("id").distinct().join(known, "id", "left_semi")
     n = chosen.count()
