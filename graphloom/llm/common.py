@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at most (a single longer text is a step of its own).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,13 +57,28 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     ends, begin = np.cumsum(sizes), 0
-    while begin < len(sizes):
+    del sizes
+    while begin < len(ends):
         base = ends[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
 
 
+def text_parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices. Slices are copies, and no batch is held while the next one is read, so a worker never has two."""
+    batches = iter(batches)
+    while True:
+        batch = next(batches, None)
+        if batch is None:
+            return
+        for part in text_slices(batch, column):
+            part = part.take(pa.array(np.arange(part.num_rows)))
+            yield part
+            del part
+        del batch
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Offsets by row, the code of each word, and the distinct words that codes stand for. Words are runs without ASCII white space."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))

@@ -2,14 +2,14 @@
 
 A document's set is its distinct five-word shingles (A-Z lower-cased; words
 are runs without ASCII white space; with fewer words, the whole sequence).
-Shingles are hashed to 64 bits by one function; the SKETCH smallest hashes are
+Shingles are hashed to 63 bits by one function; the SKETCH smallest hashes are
 the sketch. Documents with equal sets form a class, and one member of each
 stands for it, so copies cost nothing from there on.
 
-Candidates come from inverted lists of the retained values. Two sets that are
-similar enough share at least half of their sketches but for a chance below
-one in a million, so each sketch lists only its rarest values, all but one
-less than that half: common passages drop out, and a document that shares fewer
+Candidates come from inverted lists of the LISTED smallest retained values. Two
+sets that are similar enough share LEAST_SHARED of these but for a chance of a
+few in a million, so each document is listed under its rarest values, all but
+one less than that: common passages drop out, and a document that shares fewer
 values with anyone has no list at all. (This is exact given the overlap.)
 
 1. In each list the member whose values are shared most is the hub; every
@@ -18,8 +18,9 @@ values with anyone has no list at all. (This is exact given the overlap.)
    are verified on the full sets; links give components.
 2. Where a list's members are then still in different components, those
    outside the hub's component are compared with the list in blocks of bounded
-   size, by sketch; what passes is estimated and verified like the others.
-   Pairs within one component are never compared: a link there changes nothing.
+   size, by their whole sketches, each pair in the first list that it shares;
+   what passes is verified like the others. Pairs within one component are never
+   compared: a link there changes nothing.
 
 So every link between documents of different components is found, and the work
 follows the members outside a list's main component, not the square of a list.
@@ -28,7 +29,7 @@ joined by broadcasting fewer than 2,000 keys.
 
 Defined cases: null and empty texts, and texts of white space, have no
 shingles and are linked with nothing; repeated rows and rows that share a
-doc_id count as one document; rows without a doc_id are linked with nothing
+doc_id count as one document, which links as the first of its texts does; rows without a doc_id are linked with nothing
 and kept; an empty table gives an empty result; extra columns are ignored,
 whatever their names.
 """
@@ -44,50 +45,55 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import hash_strings, id_and_text, join_groups, mix, rolling, split_words, text_slices, with_labels, written
+from graphloom.llm.common import hash_strings, id_and_text, join_groups, mix, rolling, split_words, text_parts, with_labels, written
 
-WORDS, SKETCH, SIMILARITY = 5, 48, 80
+WORDS, SKETCH, SIMILARITY = 5, 128, 80
+#: Values that a document may be listed under, and how many of them similar documents share at least.
+LISTED, LEAST_SHARED = 16, 5
+#: Values of a sketch that are read to compare a member with its hub.
+BRIEF = 48
 #: Standard deviations by which an estimate may fall short of the threshold.
-SLACK = 5.0
-BLOCK, MEMBERS = 256, 64
+SLACK = 4.0
+#: Documents of a list in a block; documents compared at a time; members that share one reading of their hub.
+BLOCK, TILE, MEMBERS = 2_048, 256, 64
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     offsets, codes, distinct = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
     hashes = hash_strings(distinct.to_pylist())[codes]
-    windows = rolling(hashes, words)
+    windows = rolling(hashes, words) >> np.uint64(1)
     out = []
     for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         n = end - begin
         if n >= words:
             out.append(np.unique(windows[begin : end - words + 1]))
         else:
-            out.append(mix(rolling(hashes[begin:end], n) + np.uint64(n)) if n else np.zeros(0, np.uint64))
+            out.append(mix(rolling(hashes[begin:end], n) + np.uint64(n)) >> np.uint64(1) if n else np.zeros(0, np.uint64))
     return out
 
 
 def profiles(docs: DataFrame, sketch: int = SKETCH) -> DataFrame:
     """(doc_id, n, key_a, key_b, sketch): set size, 128 bits that stand for the set, and its smallest hashes."""
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                sets = shingle_sets(part.column("text"))
-                keys = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
-                low = [s[:sketch].view(np.int64) for s in sets]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in low])]), pa.int32()), pa.array(np.concatenate(low)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), lists], names=["doc_id", "n", "key_a", "key_b", "sketch"])
+        for part in text_parts(batches):
+            sets = shingle_sets(part.column("text"))
+            keys = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+            low = [s[:sketch].view(np.int64) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in low])]), pa.int32()), pa.array(np.concatenate(low)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), lists], names=["doc_id", "n", "key_a", "key_b", "sketch"])
 
     return id_and_text(docs).mapInArrow(profile, "doc_id long, n long, key_a long, key_b long, sketch array<long>")
 
 
 def inverted_lists(reps: DataFrame) -> DataFrame:
     """(value, rep, n, fame): the rarest retained values of each representative that others retain too; fame is how often its values are retained in all."""
-    postings = reps.select("rep", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
+    low = F.slice("sketch", 1, LISTED)
+    postings = reps.select("rep", "n", F.size(low).alias("kept"), F.explode(low).alias("value"))
     frequent = written(postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-values")
     shared = join_groups(postings, frequent, ["value"], "df")
     mine = shared.groupBy("rep", "n", "kept").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"), F.sum("df").alias("fame"))
-    least = F.greatest(F.floor(F.col("kept") / 2), F.lit(1)).cast("int")
+    least = F.greatest(F.floor(F.col("kept") * LEAST_SHARED / LISTED), F.lit(1)).cast("int")
     return mine.filter(F.size("values") >= least).select("rep", "n", "fame", F.explode(F.slice("values", F.lit(1), F.size("values") - least + 1)).alias("v")).select(F.col("v.value").alias("value"), "rep", "n", "fame")
 
 
@@ -95,9 +101,9 @@ def _similar_sizes(similarity: int):
     return F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * similarity
 
 
-def estimated(pairs: DataFrame, reps: DataFrame, similarity: int, sketch: int = SKETCH) -> DataFrame:
+def estimated(pairs: DataFrame, reps: DataFrame, similarity: int, sketch: int = BRIEF) -> DataFrame:
     """The (hub, rep) pairs whose union sketch does not rule the similarity out."""
-    sketches = reps.select("rep", "sketch")
+    sketches = reps.select("rep", F.slice("sketch", 1, sketch).alias("sketch"))
     hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("pairs")).join(sketches.select(F.col("rep").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
     both = join_groups(pairs.join(sketches, "rep"), written(hubs, "near-hubs"), ["hub"], "pairs")
     union = F.slice(F.array_sort(F.array_union("sketch", "hub_sketch")), 1, sketch)
@@ -113,7 +119,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     pairs = written(pairs, "near-pairs")
     texts = id_and_text(docs).filter("doc_id IS NOT NULL")
     wanted = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("rep")).distinct()
-    texts = written(with_labels(texts, wanted).dropDuplicates(["doc_id"]), "near-texts")
+    texts = written(with_labels(texts, wanted).groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
     counted = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("pairs"))
     portions = F.ceil(F.col("pairs") / MEMBERS).cast("int")
     members = join_groups(pairs, counted, ["hub"], "pairs").select("hub", F.pmod(F.xxhash64("rep"), portions).cast("int").alias("portion"), F.lit(1).alias("place"), F.col("rep").alias("doc_id"))
@@ -122,18 +128,17 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.zeros(0, np.uint64)
-        for batch in batches:
-            for part in text_slices(batch):
-                out: dict[str, list] = {"hub": [], "rep": []}
-                for h, place, doc, s in zip(*(part.column(c).to_pylist() for c in ("hub", "place", "doc_id")), shingle_sets(part.column("text"))):
-                    if place == 0:
-                        hub = s
-                        continue
-                    common = len(hub) + len(s) - len(np.union1d(hub, s))
-                    if common * 100 >= similarity * (len(hub) + len(s) - common) > 0:
-                        out["hub"].append(h)
-                        out["rep"].append(doc)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("hub", pa.int64()), ("rep", pa.int64())]))
+        for part in text_parts(batches):
+            out: dict[str, list] = {"hub": [], "rep": []}
+            for h, place, doc, s in zip(*(part.column(c).to_pylist() for c in ("hub", "place", "doc_id")), shingle_sets(part.column("text"))):
+                if place == 0:
+                    hub = s
+                    continue
+                common = len(hub) + len(s) - len(np.union1d(hub, s))
+                if common * 100 >= similarity * (len(hub) + len(s) - common) > 0:
+                    out["hub"].append(h)
+                    out["rep"].append(doc)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("hub", pa.int64()), ("rep", pa.int64())]))
 
     return written(rows.mapInArrow(compare, "hub long, rep long"), "near-links")
 
@@ -160,36 +165,87 @@ def components(links: DataFrame) -> DataFrame:
         labels = after
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of blocks, a block's together, to the pairs across components that share half a sketch."""
-    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64())])
-    key, held = None, []
-
-    def pairs():
-        size = np.array([len(r[5]) for r in held])
-        values, inverse = np.unique(np.concatenate([np.asarray(r[5], np.int64) for r in held]), return_inverse=True)
-        table = np.zeros((len(held), len(values)), np.float32)
-        table[np.repeat(np.arange(len(held)), size), inverse] = 1
-        mine = np.flatnonzero([r[2] == 0 for r in held])
-        n, home, ids = (np.array([r[k] for r in held]) for k in (4, 6, 3))
-        shared = table[mine] @ table.T
-        least = np.maximum(np.minimum(size[mine][:, None], size[None, :]) // 2, 1)
-        good = (shared >= least) & (home[mine][:, None] != home[None, :])
-        a, b = np.nonzero(good)
-        return pa.RecordBatch.from_pydict({"hub": np.minimum(ids[mine[a]], ids[b]), "rep": np.maximum(ids[mine[a]], ids[b])}, schema=schema)
-
-    for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("value", "block", "side", "rep", "n", "sketch", "component"))):
-            if key is not None and r[:2] != key:
-                yield pairs()
-                held = []
-            key = r[:2]
-            held.append(r)
-    if held:
-        yield pairs()
-
-
-def remaining_pairs(lists: DataFrame, heads: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+def similar_pairs(rows: list[tuple], value: int, similarity: int) -> tuple[list[int], list[int]]:
+    """Pairs across components, one of them of side 0, that first share the list `value` and whose sketches do not rule the similarity out.
+
+    rows: (side, rep, component, sketch, values listed, set size). Values up to
+    the lesser of two sketches' ends are a sample of both sets without bias,
+    drawn without replacement, so its error shrinks as it nears the whole; a
+    sketch shorter than SKETCH is the whole set and has no end.
+    """
+    side, ids, home, size = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 5))
+    sketches = [np.asarray(r[3], np.int64) for r in rows]
+    end = np.array([x[-1] if len(x) >= SKETCH else np.iinfo(np.int64).max for x in sketches])
+    listed, where = np.unique(np.concatenate([np.asarray(r[4], np.int64) for r in rows]), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), [len(r[4]) for r in rows])
+    earlier = np.zeros((len(rows), int(np.searchsorted(listed, value))), np.float32)
+    before = where < earlier.shape[1]
+    earlier[owner[before], where[before]] = 1
+    values, column, seen = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    shared_column = np.cumsum(seen > 1) - 1
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in sketches])
+    use = seen[column] > 1
+    row, column = row[use], shared_column[column[use]]
+    width, s = int((seen > 1).sum()), similarity / 100
+    out: tuple[list[int], list[int]] = ([], [])
+    mine = np.flatnonzero(side == 0)
+
+    def dense(pick: np.ndarray) -> np.ndarray:
+        place = np.full(len(rows), -1)
+        place[pick] = np.arange(len(pick))
+        at = place[row] >= 0
+        table = np.zeros((len(pick), width), np.float32)
+        table[place[row[at]], column[at]] = 1
+        return table
+
+    for a0 in range(0, len(mine), TILE):
+        a = mine[a0 : a0 + TILE]
+        left = None
+        for b0 in range(0, len(rows), TILE):
+            b = np.arange(b0, min(len(rows), b0 + TILE))
+            todo = (home[a][:, None] != home[b][None, :]) & ((side[b] == 1)[None, :] | (a[:, None] < b[None, :])) & (earlier[a] @ earlier[b].T == 0)
+            if not todo.any():
+                continue
+            left = dense(a) if left is None else left
+            common = left @ dense(b).T
+            limit = np.minimum(end[a][:, None], end[b][None, :])
+            n_a = np.stack([np.searchsorted(sketches[x], limit[k], "right") for k, x in enumerate(a)])
+            n_b = np.stack([np.searchsorted(sketches[x], limit[:, k], "right") for k, x in enumerate(b)], axis=1)
+            union = np.maximum(n_a + n_b - common, 1)
+            whole = (size[a][:, None] + size[b][None, :]) / (1 + s)  # the union's size at the threshold
+            left_out = np.clip(1 - union / whole, 0, 1)
+            slack = np.where((end[a] == np.iinfo(np.int64).max)[:, None] & (end[b] == np.iinfo(np.int64).max)[None, :], 0, SLACK * np.sqrt(s * (1 - s) / union * left_out) + 1 / union)
+            i, j = np.nonzero(todo & (common / union >= s - slack - 1e-6))
+            out[0].extend(ids[a[i]].tolist())
+            out[1].extend(ids[b[j]].tolist())
+    return out
+
+
+def _block_pairs(similarity: int):
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of blocks, a block's together, to pairs."""
+        schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64())])
+        key, held = None, []
+
+        def solve():
+            a, b = similar_pairs(held, key[0], similarity)
+            low, high = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], schema=schema)
+
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("value", "block", "side", "rep", "component", "sketch", "listed", "n"))):
+                if key is not None and r[:2] != key:
+                    yield solve()
+                    held = []
+                key = r[:2]
+                held.append(r[2:])
+        if held:
+            yield solve()
+
+    return pairs
+
+
+def remaining_pairs(lists: DataFrame, heads: DataFrame, reps: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
     """(hub, rep) pairs across components within lists, but for those with the list's hub.
 
     The members outside the hub's component, in blocks, meet each other and,
@@ -209,27 +265,28 @@ def remaining_pairs(lists: DataFrame, heads: DataFrame, reps: DataFrame, labels:
     as_first = F.concat(F.transform(upto(F.col("outs")), lambda j: pair(F.col("own"), False, j, 0)), F.transform(upto(F.col("ins")), lambda j: pair(F.col("own"), True, j, 0)))
     as_second = F.transform(F.filter(upto(F.col("outs")), lambda i: i != F.col("own")), lambda i: pair(i, False, F.col("own"), 1))
     inside = F.transform(upto(F.col("outs")), lambda i: pair(i, True, F.col("own"), 1))
-    dealt = blocks.select("value", "rep", "n", "component", F.explode(F.when(F.col("outside"), F.concat(as_first, as_second)).otherwise(inside)).alias("b")).select("value", "b.block", "b.side", "rep", "n", "component")
-    dealt = dealt.join(reps.select("rep", "sketch"), "rep").repartition("value", "block").sortWithinPartitions("value", "block")
-    return dealt.mapInArrow(_block_pairs, "hub long, rep long").filter("hub <> rep").distinct()
+    dealt = blocks.select("value", "rep", "component", F.explode(F.when(F.col("outside"), F.concat(as_first, as_second)).otherwise(inside)).alias("b")).select("value", "b.block", "b.side", "rep", "component")
+    listed = placed.groupBy("rep").agg(F.collect_set("value").alias("listed"))
+    dealt = dealt.join(listed, "rep").join(reps, "rep").repartition("value", "block").sortWithinPartitions("value", "block")
+    return dealt.mapInArrow(_block_pairs(similarity), "hub long, rep long").filter("hub <> rep").distinct()
 
 
-def link_components(docs: DataFrame, similarity: int = SIMILARITY, sketch: int = SKETCH) -> DataFrame:
+def link_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; similarity is a percentage."""
-    rows = written(profiles(docs, sketch), "near-profiles")
+    rows = written(profiles(docs), "near-profiles")
     classes = rows.filter("n > 0").groupBy("key_a", "key_b").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n", "sketch"))).alias("first"), F.count(F.lit(1)).alias("rows"))
     classes = written(classes.select("key_a", "key_b", "rows", F.col("first.doc_id").alias("rep"), F.col("first.n").alias("n"), F.col("first.sketch").alias("sketch")), "near-classes")
-    reps = written(classes.filter("rep IS NOT NULL").select("rep", "n", "sketch").dropDuplicates(["rep"]), "near-reps")
+    reps = classes.filter("rep IS NOT NULL").select("rep", "n", "sketch")
     lists = written(inverted_lists(reps), "near-lists")
     top = F.max(F.struct("fame", (-F.col("rep")).alias("minus"), "n")).alias("top")
     heads = lists.groupBy("value").agg(top, F.count(F.lit(1)).alias("members")).filter("members > 1")
     heads = written(heads.select("value", (-F.col("top.minus")).alias("hub"), F.col("top.n").alias("hub_n"), "members"), "near-heads")
     stars = join_groups(lists, heads, ["value"], "members").filter((F.col("rep") != F.col("hub")) & _similar_sizes(similarity)).select("hub", "rep").distinct()
-    links = verified(estimated(written(stars, "near-stars"), reps, similarity, sketch), docs, similarity)
+    links = verified(estimated(written(stars, "near-stars"), reps, similarity), docs, similarity)
     labels = components(links)
-    rest = written(remaining_pairs(lists, heads.filter("members > 2"), reps, labels), "near-rest")
+    rest = written(remaining_pairs(lists, heads.filter("members > 2"), reps, labels, similarity), "near-rest")
     sized = rest.join(reps.select("rep", "n"), "rep").join(reps.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub").filter(_similar_sizes(similarity)).select("hub", "rep")
-    more = verified(estimated(written(sized, "near-stars"), reps, similarity, sketch), docs, similarity)
+    more = verified(sized, docs, similarity)
     labels = components(links.unionByName(more).distinct())
     homes = classes.select("key_a", "key_b", "rows", "rep").join(labels, "rep", "left").select("key_a", "key_b", "rows", F.coalesce("component", "rep").alias("component"))
     full = join_groups(rows.filter("n > 0").select("doc_id", "n", "key_a", "key_b"), written(homes, "near-homes"), ["key_a", "key_b"], "rows").select("doc_id", "n", "component")

@@ -64,6 +64,7 @@ def test_against_brute_force(make_docs, seed, similarity):
 
 def test_blocks_find_what_hubs_miss(make_docs, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "TILE", 2)
     rows = corpus(4)
     got = {r.doc_id: r.component_id for r in near_dedup.link_components(make_docs(rows), 85).collect()}
     assert got == {i: v[1] for i, v in brute(rows, 85).items()}
