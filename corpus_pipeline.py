@@ -11,7 +11,6 @@ every stage that decides by id.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +43,11 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """doc_id, the token ids, their number, and whether they decode to the text: (doc_id, ids, n_tokens, decoded_sha256)."""
     ranks = bpe.default_ranks_path()
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            decoded = [hashlib.sha256(bpe.decode_ids(x or [], ranks)).hexdigest() for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([len(x) for x in ids.to_pylist()], pa.int64()), pa.array(decoded)], names=["doc_id", "ids", "n_tokens", "decoded_sha256"])
+    def finish(doc_ids: list, ids: list[list[int]]) -> pa.RecordBatch:
+        decoded = [hashlib.sha256(bpe.decode_ids(x, ranks)).hexdigest() for x in ids]
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "n_tokens", "decoded_sha256"])
 
-    return bpe.encode_documents(docs, ranks).mapInArrow(finish, "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string")
+    return bpe.map_encoded(docs, finish, "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string", ranks)
 
 
 STAGES = [

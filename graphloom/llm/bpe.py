@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import id_and_text, text_slices, written
+from graphloom.llm.common import id_and_text, text_parts, written
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 1_024
 #: Characters before a chunk's end within which a boundary may still move: the longest look-ahead of the pattern is two.
@@ -143,29 +143,38 @@ def _long_ids(long_docs: DataFrame, ranks_path: str, chunk_chars: int, overlap_c
     pieces = cut.select("row_key", "doc_id", F.explode(piece).alias("p")).select("row_key", "doc_id", "p.place", "p.text").repartition("row_key", "place")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                ids = encode_pieces(part.column("text").to_pylist(), ranks_path)
-                yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), part.column("place"), pa.array(ids, pa.list_(pa.int32()))], names=["row_key", "doc_id", "place", "ids"])
+        for part in text_parts(batches):
+            ids = encode_pieces(part.column("text").to_pylist(), ranks_path)
+            yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), part.column("place"), pa.array(ids, pa.list_(pa.int32()))], names=["row_key", "doc_id", "place", "ids"])
 
     return pieces.mapInArrow(encode, "row_key long, doc_id long, place int, ids array<int>")
 
 
-def encode_documents(docs: DataFrame, ranks_path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """doc_id and the token ids of every whole text."""
+def map_encoded(docs: DataFrame, finish: Callable[[list, list[list[int]]], pa.RecordBatch], schema: str, ranks_path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """finish(doc_ids, ids of each) over every whole text, some rows at a time; schema is that of its result."""
     ranks_path = ranks_path or default_ranks_path()
     rows = id_and_text(docs)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def short_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_parts(batches):
+            yield finish(part.column("doc_id").to_pylist(), encode_pieces(part.column("text").to_pylist(), ranks_path))
+
+    def long_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
-                ids = encode_pieces(part.column("text").to_pylist(), ranks_path)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for k in range(batch.num_rows):
+                parts = batch.column("parts")[k].as_py()
+                yield finish([batch.column("doc_id")[k].as_py()], [[i for p in parts for i in p["ids"]]])
 
-    short = rows.filter(F.length("text") <= chunk_chars).mapInArrow(encode, ENCODED)
+    short = rows.filter(F.length("text") <= chunk_chars).mapInArrow(short_rows, schema)
     pieces = _long_ids(rows.filter(F.length("text") > chunk_chars), ranks_path, chunk_chars, overlap_chars)
     whole = pieces.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-    return short.unionByName(whole.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids")))
+    return short.unionByName(whole.select("doc_id", "parts").mapInArrow(long_rows, schema))
+
+
+def encode_documents(docs: DataFrame, ranks_path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """doc_id and the token ids of every whole text."""
+    finish = lambda doc_ids, ids: pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    return map_encoded(docs, finish, ENCODED, ranks_path, chunk_chars, overlap_chars)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -174,7 +183,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str | None = None) -> DataF
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [decode_ids(ids or [], ranks_path) for ids in batch.column("ids").to_pylist()]
+            data = [decode_ids(ids.as_py() or [], ranks_path) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, data binary")
@@ -184,7 +193,7 @@ def round_trip_digests(docs: DataFrame, ranks_path: str | None = None, chunk_cha
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 (bytes decoded from the ids) of every document."""
     ranks_path = ranks_path or default_ranks_path()
 
-    def digest_rows(doc_ids, ids_lists) -> pa.RecordBatch:
+    def digest_rows(doc_ids: list, ids_lists: list[list[int]]) -> pa.RecordBatch:
         names = codec(ranks_path)[1]
         out = {"doc_id": doc_ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for ids in ids_lists:
@@ -193,19 +202,4 @@ def round_trip_digests(docs: DataFrame, ranks_path: str | None = None, chunk_cha
             out["decoded_sha256"].append(hashlib.sha256(decode_ids(ids, ranks_path)).hexdigest())
         return pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 
-    def short_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                yield digest_rows(part.column("doc_id").to_pylist(), encode_pieces(part.column("text").to_pylist(), ranks_path))
-
-    def long_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                parts = batch.column("parts")[k].as_py()
-                yield digest_rows([batch.column("doc_id")[k].as_py()], [[i for p in parts for i in p["ids"]]])
-
-    rows = id_and_text(docs)
-    short = rows.filter(F.length("text") <= chunk_chars).mapInArrow(short_digests, DIGESTS)
-    pieces = _long_ids(rows.filter(F.length("text") > chunk_chars), ranks_path, chunk_chars, overlap_chars)
-    whole = pieces.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-    return short.unionByName(whole.select("doc_id", "parts").mapInArrow(long_digests, DIGESTS))
+    return map_encoded(docs, digest_rows, DIGESTS, ranks_path, chunk_chars, overlap_chars)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import hash_strings, id_and_text, mix, split_words, text_slices
+from graphloom.llm.common import hash_strings, id_and_text, mix, split_words, text_parts
 
 #: Fixed masks: 1 looks, 0 ignores. Any stretch of 12 tokens with two substitutions, or one of 20 with four, has a hit of one of them (tests hold it).
 MASKS = ("111111", "1101011", "11001011", "110010001011")
@@ -150,13 +150,12 @@ def overlapping(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = shared.value
             length = dict(zip(held.item_ids.tolist(), np.diff(held.offsets).tolist()))
-            for batch in batches:
-                for part in text_slices(batch):
-                    found = held.overlaps(part.column("text"))
-                    ids = part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
-                    columns = list(zip(*found)) if found else [()] * 5
-                    share = [m / max(1, length[i]) for _, i, _, _, m in found]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:]), pa.array(share, pa.float64())], names=["doc_id", "item_id", "first_token", "end_token", "matched", "item_share"])
+            for part in text_parts(batches):
+                found = held.overlaps(part.column("text"))
+                ids = part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
+                columns = list(zip(*found)) if found else [()] * 5
+                share = [m / max(1, length[i]) for _, i, _, _, m in found]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:]), pa.array(share, pa.float64())], names=["doc_id", "item_id", "first_token", "end_token", "matched", "item_share"])
 
         found = rows.mapInArrow(find, SCHEMA)
         out = found if out is None else out.unionByName(found)

@@ -78,8 +78,11 @@ class DigestIndex:
 def _indexed(rows: DataFrame, index: DigestIndex | None) -> DataFrame:
     """Appends the rows' digests to the index (a new one if there is none) and returns (digest, keep_id, group_size) for them."""
     spark = rows.sparkSession
+    own = index is None
     index = index or DigestIndex(spark, scratch_path(spark, "digest-index"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     index.append(digest_groups(rows))
+    if own:
+        index.close()
     return spark.read.schema(DigestIndex.SCHEMA).parquet(index.path)  # as plain files, so that both sides of a join can be dealt anew
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import id_and_text, text_slices, written
+from graphloom.llm.common import id_and_text, text_parts, written
 
 BASE = ("email", "ip", "card", "phone")
 LABELERS = ("form", "gazetteer", "context", "against", "company")
@@ -170,18 +170,17 @@ def scan(docs: DataFrame) -> DataFrame:
     added_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                counts, digests, listed, added = [[] for _ in BASE], [], [], []
-                for text in part.column("text").to_pylist():
-                    base = base_spans(text)
-                    for c, spans in zip(counts, base):
-                        c.append(len(spans))
-                    said = [f"{k}:{s}:{e}" for k, spans in zip(BASE, base) for s, e in spans]
-                    digests.append(hashlib.sha256(",".join(said).encode()).hexdigest())
-                    listed.append(said)
-                    added.append([dict(zip(("kind", "start", "end", "pattern"), c)) for c in candidates(text, base)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(listed, pa.list_(pa.string())), pa.array(added, added_type)], names=SCANNED_NAMES)
+        for part in text_parts(batches):
+            counts, digests, listed, added = [[] for _ in BASE], [], [], []
+            for text in part.column("text").to_pylist():
+                base = base_spans(text)
+                for c, spans in zip(counts, base):
+                    c.append(len(spans))
+                said = [f"{k}:{s}:{e}" for k, spans in zip(BASE, base) for s, e in spans]
+                digests.append(hashlib.sha256(",".join(said).encode()).hexdigest())
+                listed.append(said)
+                added.append([dict(zip(("kind", "start", "end", "pattern"), c)) for c in candidates(text, base)])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(listed, pa.list_(pa.string())), pa.array(added, added_type)], names=SCANNED_NAMES)
 
     return id_and_text(docs).mapInArrow(find, SCANNED)
 

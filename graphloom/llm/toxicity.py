@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import hash_sample, hash_strings, id_and_text, mix, row_sums, split_words, text_slices, with_labels
+from graphloom.llm.common import hash_sample, hash_strings, id_and_text, mix, row_sums, split_words, text_parts, with_labels
 
 WORD_BITS, PAIR_BITS = 19, 20
 WORDS, PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
@@ -113,14 +113,13 @@ def gather_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return pa.RecordBatch.from_pylist(list(_packed(keys, counts)), schema=schema)
 
-    for batch in batches:
-        for part in text_slices(batch):
-            offsets, slots, before = word_slots(part.column("text"))
-            toxic = np.repeat(np.asarray(part.column("toxic"), dtype=np.int64), np.diff(offsets))
-            keys, counts = np.unique(((before << WORD_BITS | slots) << 1) | toxic, return_counts=True)
-            by_class = np.zeros((len(keys), 2), np.int64)
-            by_class[np.arange(len(keys)), keys & 1] = counts
-            held.append(_merged(keys >> 1, by_class))
+    for part in text_parts(batches):
+        offsets, slots, before = word_slots(part.column("text"))
+        toxic = np.repeat(np.asarray(part.column("toxic"), dtype=np.int64), np.diff(offsets))
+        keys, counts = np.unique(((before << WORD_BITS | slots) << 1) | toxic, return_counts=True)
+        by_class = np.zeros((len(keys), 2), np.int64)
+        by_class[np.arange(len(keys)), keys & 1] = counts
+        held.append(_merged(keys >> 1, by_class))
         if sum(len(k) for k, _ in held) > FLUSH_PAIRS:
             yield ship()
     if held:
@@ -270,10 +269,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, options = shared.value
-        for batch in batches:
-            for part in text_slices(batch):
-                x = np.hstack([text_features(held, u, part.column("text")) for u in options])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+        for part in text_parts(batches):
+            x = np.hstack([text_features(held, u, part.column("text")) for u in options])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
     got = sorted(sample.mapInArrow(features, "doc_id long, toxic int, x array<double>").collect(), key=lambda r: r["doc_id"])  # bounded by CALIBRATION_ROWS
     y = np.asarray([r["toxic"] for r in got], dtype=np.float64)
@@ -297,9 +295,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for batch in batches:
-            for part in text_slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(held.scores(part.column("text")), pa.float64())], names=["doc_id", "score"])
+        for part in text_parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(held.scores(part.column("text")), pa.float64())], names=["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(score, "doc_id long, score double")
 
