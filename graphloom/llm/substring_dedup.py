@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import id_and_text, join_groups, mix, text_slices, with_labels, without_labels, written
+from graphloom.llm.common import id_and_text, join_groups, mix, text_parts, with_labels, without_labels, written
 
 WINDOW, GRAM = 50, 20
 LONGEST_RUN = 48
@@ -52,7 +52,7 @@ LONGEST_RUN = 48
 CHUNK = 2 << 20
 FLUSH_STRETCHES = 4_000_000
 SEGMENTS = 256
-MOST_STRETCHES = 2_000
+MOST_STRETCHES = 20_000
 #: Stretches whose suffixes are sorted at a time, about.
 SORTED_STRETCHES = 40_000
 NO_ID = (1 << 63) - 1
@@ -206,11 +206,10 @@ def ship_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for k in range(0, len(out), 2_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 2_000]), SHIPPED)], schema=SHIPPED)
 
-    for batch in batches:
-        for part in text_slices(batch):
-            held += text_stretches(part)
-            if sum(len(h) for h in held) > FLUSH_STRETCHES:
-                yield from ship()
+    for part in text_parts(batches):
+        held += text_stretches(part)
+        if sum(len(h) for h in held) > FLUSH_STRETCHES:
+            yield from ship()
     if held:
         yield from ship()
 
@@ -349,13 +348,12 @@ def contexts(mixed: DataFrame, keyed: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("anchor", pa.int64()), ("order", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("context", pa.binary())])
-        for batch in batches:
-            for part in text_slices(batch):
-                out: list[tuple] = []
-                for order, mark, text, where in zip(*(part.column(c).to_pylist() for c in ("order", "print", "text", "places"))):
-                    data = text.encode()
-                    out += [(p["anchor"], order, mark, p["start"], data[p["start"] : p["end"]]) for p in where]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, schema)], schema=schema)
+        for part in text_parts(batches):
+            out: list[tuple] = []
+            for order, mark, text, where in zip(*(part.column(c).to_pylist() for c in ("order", "print", "text", "places"))):
+                data = text.encode()
+                out += [(p["anchor"], order, mark, p["start"], data[p["start"] : p["end"]]) for p in where]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, schema)], schema=schema)
 
     return both.mapInArrow(cut, "anchor long, order long, print long, start int, context binary")
 
@@ -443,10 +441,9 @@ def kept_bytes(text: str, starts: list[int] | None, ends: list[int] | None) -> b
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id and the bytes that stay of every document (not always valid UTF-8: a match may begin or end within a character)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                data = [kept_bytes(*r) for r in zip(*(part.column(c).to_pylist() for c in ("text", "starts", "ends")))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "data"])
+        for part in text_parts(batches):
+            data = [kept_bytes(*r) for r in zip(*(part.column(c).to_pylist() for c in ("text", "starts", "ends")))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
     return _with_spans(docs).mapInArrow(cut, "doc_id long, data binary")
 
@@ -455,12 +452,11 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-        for batch in batches:
-            for part in text_slices(batch):
-                out = []
-                for text, starts, ends in zip(*(part.column(c).to_pylist() for c in ("text", "starts", "ends"))):
-                    kept, n = kept_bytes(text, starts, ends), len(text.encode())
-                    out.append((n, n - len(kept), len(starts or ()), hashlib.sha256(kept).hexdigest()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(schema)[1:]))], schema=schema)
+        for part in text_parts(batches):
+            out = []
+            for text, starts, ends in zip(*(part.column(c).to_pylist() for c in ("text", "starts", "ends"))):
+                kept, n = kept_bytes(text, starts, ends), len(text.encode())
+                out.append((n, n - len(kept), len(starts or ()), hashlib.sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(schema)[1:]))], schema=schema)
 
     return _with_spans(docs).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
