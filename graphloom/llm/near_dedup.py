@@ -299,3 +299,16 @@ def keep_one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame
     """The documents that stay, with all their columns: of each component the smallest id. Rows without a doc_id stay."""
     gone = link_components(docs, similarity).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.alias("d").join(gone, F.col("d.doc_id").cast("long") == F.col("gone_id"), "left_anti")
+
+
+#: The same for 85 percent, by brute force; for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+e AS MATERIALIZED (SELECT doc_id, unnest(g) AS g FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * n >= 85 * (len(a.g) + len(b.g) - n)),
+m AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, m.y FROM r JOIN m ON m.x = r.seen)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, k.component_id, s.doc_id = k.component_id AS kept FROM s JOIN (SELECT id, min(seen) AS component_id FROM r GROUP BY id) k ON k.id = s.doc_id
+"""

@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_secrets": secrets.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL}

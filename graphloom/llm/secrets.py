@@ -102,3 +102,32 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         spans(F.col("kind").isNotNull()).alias("spans"),
         F.count(F.when(~F.col("kind").isin(*BASE), 1)).alias("n_linked"),
     ).drop("row")
+
+
+def _oracle_sql() -> str:
+    """The same in SQL for small tables: places by sums over lists, links by a join of a document's parts."""
+    any_case = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    quoted = lambda pattern: pattern.replace("'", "''")
+    assign = "(?:" + "|".join(map(any_case, ("password", "passwd", "secret", "token", "api_?key"))) + ")" + ASSIGN.split(")", 1)[1]
+    identifier = "(?:" + "|".join(map(any_case, ("user_?(?:name)?", "login", "account", "client_?id", "access_?key(?:_?id)?"))) + ")" + IDENTIFIER.split("(?:_?id)?)", 1)[1]
+    opaque = "length(m) >= 20 AND regexp_matches(left(m, 65), '[0-9]') AND regexp_matches(left(m, 65), '[A-Z]') AND regexp_matches(left(m, 65), '[a-z]')"
+    kinds = [("assign", assign, 1, f"length(v) >= {LEAST_ASSIGNED}"), ("secret", assign, 1, f"length(v) BETWEEN {LEAST_WEAK} AND {LEAST_ASSIGNED - 1}"), ("access", "AKIA[A-Z0-9]+", 0, "length(m) >= 18"), ("hex", "[0-9a-f]+", 0, "length(m) >= 16"), ("identifier", identifier, 1, "TRUE"), ("secret", "[A-Za-z0-9+/_-]+", 0, opaque), ("endpoint", ENDPOINT, 0, "TRUE")]
+    found = " UNION ALL ".join(
+        f"SELECT row, '{kind}' AS kind, b AS s, b + length(m) AS e FROM (SELECT row, ms[i] AS m, vs[i] AS v, coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS b FROM (SELECT row, ms, vs, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT row, regexp_extract_all(x, '{quoted(pattern)}', 0) AS ms, regexp_extract_all(x, '{quoted(pattern)}', {group}) AS vs, string_split_regex(x, '{quoted(pattern)}') AS gs FROM t))) WHERE {rule}"
+        for kind, pattern, group, rule in kinds
+    )
+    near = lambda ks: f"EXISTS (SELECT 1 FROM p o WHERE o.row = p.row AND (o.kind, o.s, o.e) <> (p.kind, p.s, p.e) AND o.kind IN ({ks}) AND p.s - o.e <= {SCOPE} AND o.s - p.e <= {SCOPE})"
+    ids, keys = near("'access', 'identifier'"), near("'assign', 'hex', 'secret'")
+    rank = "list_position([" + ", ".join(f"'{k}'" for k in KINDS) + "], kind)"
+    said = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, " + rank + ")"
+    base = "kind IN ('assign', 'access', 'hex')"
+    return f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS x FROM documents),
+p AS MATERIALIZED ({found}),
+k AS (SELECT * FROM p WHERE {base} OR (NOT EXISTS (SELECT 1 FROM p b WHERE b.row = p.row AND b.{base} AND b.s < p.e AND p.s < b.e) AND CASE kind WHEN 'secret' THEN {ids} WHEN 'identifier' THEN {keys} ELSE {ids} AND {keys} END)),
+a AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {said.replace(rank + ")", rank + f") FILTER ({base})")} AS base, {said} AS spans, count(*) FILTER (NOT {base}) AS n_linked FROM k GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM t LEFT JOIN a USING (row)
+"""
+
+
+ORACLE_SQL = _oracle_sql()

@@ -460,3 +460,18 @@ def removal_digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(schema)[1:]))], schema=schema)
 
     return _with_spans(docs).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: The same by brute force over all windows, as hex; for small tables.
+ORACLE_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS MATERIALIZED (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE w.doc_id > f.first),
+b AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM g),
+n AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM b),
+r AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM n GROUP BY doc_id, k),
+q AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+t AS (SELECT d.doc_id, any_value(length(d.h) // 2) AS n_bytes, coalesce(sum(q.z - q.a), 0) AS n_removed, count(q.a) AS n_spans, coalesce(string_agg(substr(d.h, 2 * q.before + 1, 2 * (q.a - q.before)), '' ORDER BY q.a), '') || substr(any_value(d.h), 2 * coalesce(max(q.z), 0) + 1) AS kept FROM d LEFT JOIN q ON q.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t
+"""

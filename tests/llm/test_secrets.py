@@ -64,3 +64,13 @@ def test_empty_repeated_and_null_ids(make_docs):
     assert secrets.find_secrets(make_docs([])).count() == 0
     got = secrets.find_secrets(make_docs([(1, "AKIAABCDEFGHIJKLMN")] * 2 + [(None, None)])).collect()
     assert sorted(r.n_access for r in got) == [0, 1, 1]
+
+
+def test_sql_says_the_same(make_docs):
+    import duckdb
+    import pandas as pd
+
+    rows = [(i, t) for i, t in enumerate(texts()) if t is None or len(t) < 30_000]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = {r[0]: r[1:] for r in duckdb.sql(secrets.ORACLE_SQL).fetchall()}
+    assert want == {i: brute(t) for i, t in rows}
