@@ -4,8 +4,8 @@ Every stage reads what its predecessor kept, written as Parquet. The first
 four return rows of `documents` with all columns; the last returns each
 document's token ids and the digests of its round trip.
 
-Defined cases: as those of the operators; rows without a doc_id are kept by
-every stage that decides by id.
+Defined cases: as those of the operators; rows without a doc_id are judged by
+their text, and kept by the near-dedup stage, which decides by id.
 """
 
 from __future__ import annotations

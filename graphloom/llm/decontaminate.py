@@ -140,13 +140,17 @@ def portions(benchmark: DataFrame) -> list[DataFrame]:
     return [items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
+def _shared_portions(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """A broadcast of each portion of the benchmark; a portion is bounded by PORTION_BYTES."""
+    for items in portions(benchmark):
+        held = sorted((tuple(r) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield docs.sparkSession.sparkContext.broadcast(Benchmark.of([-1 if i is None else i for i, _ in held], [t for _, t in held]))
+
+
 def overlapping(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that overlap: the stretch of the document's tokens, how many are equal, and their share of the item."""
     rows, out = id_and_text(docs), None
-    for items in portions(benchmark):
-        held = sorted((tuple(r) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))  # bounded by PORTION_BYTES
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark.of([-1 if i is None else i for i, _ in held], [t for _, t in held]))
-
+    for shared in _shared_portions(docs, benchmark):
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = shared.value
             length = dict(zip(held.item_ids.tolist(), np.diff(held.offsets).tolist()))
@@ -163,6 +167,13 @@ def overlapping(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any overlap, with all their columns; rows without a doc_id stay."""
-    hit = overlapping(docs, benchmark).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.alias("d").join(hit, F.col("d.doc_id").cast("long") == F.col("hit_id"), "left_anti")
+    """The documents without any overlap, with all their columns: a filter for each portion of the benchmark, without a join."""
+    for shared in _shared_portions(docs, benchmark):
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for part in text_parts(batches):
+                clean = np.ones(part.num_rows, bool)
+                clean[[f[0] for f in shared.value.overlaps(part.column("text"))]] = False
+                yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

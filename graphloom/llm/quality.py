@@ -138,6 +138,14 @@ def train(docs: DataFrame, ratings: DataFrame, column: str = "quality", most: in
     return fit(row, np.concatenate([r["feature"] for r in got]).astype(np.int64), np.concatenate([r["value"] for r in got]).astype(np.float64), rank, grades)
 
 
+def judged(model: OrdinalModel, texts: pa.Array, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected grade of each text, and its probability of the wanted grade or better."""
+    tails = model.tails(texts)
+    above = int(np.searchsorted(model.grades, wanted))  # grades[above] is the first that will do
+    tail = np.ones(len(tails)) if above == 0 else tails[:, above - 1] if above <= tails.shape[1] else np.zeros(len(tails))
+    return model.grades[0] + tails @ np.diff(model.grades).astype(np.float64), tail
+
+
 def grade_documents(docs: DataFrame, model: OrdinalModel, wanted: int | None = None, keep_tail: float = KEEP_TAIL) -> DataFrame:
     """doc_id, expected_grade, tail_probability (of the wanted grade, by default the highest, or better) and kept."""
     wanted = int(model.grades[-1]) if wanted is None else wanted
@@ -145,19 +153,21 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, wanted: int | None = N
     schema = "doc_id long, expected_grade double, tail_probability double, kept boolean"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        above = int(np.searchsorted(held.grades, wanted))  # grades[above] is the first that will do
         for part in text_parts(batches):
-            tails = held.tails(part.column("text"))
-            expected = held.grades[0] + tails @ np.diff(held.grades).astype(np.float64)
-            tail = np.ones(len(tails)) if above == 0 else tails[:, above - 1] if above <= tails.shape[1] else np.zeros(len(tails))
+            expected, tail = judged(shared.value, part.column("text"), wanted)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= keep_tail)], names=["doc_id", "expected_grade", "tail_probability", "kept"])
 
     return id_and_text(docs).mapInArrow(score, schema)
 
 
 def keep_good(docs: DataFrame, ratings: DataFrame, wanted: int | None = None, keep_tail: float = KEEP_TAIL) -> DataFrame:
-    """The documents that are not rejected, with all their columns. Rows without a doc_id are kept."""
-    graded = grade_documents(docs, train(docs, ratings), wanted, keep_tail)
-    bad = graded.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.alias("d").join(bad, F.col("d.doc_id").cast("long") == F.col("rejected_id"), "left_anti")
+    """The documents that are not rejected, with all their columns: a filter that needs no join, as each row is judged by its own text."""
+    model = train(docs, ratings)
+    wanted = int(model.grades[-1]) if wanted is None else wanted
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_parts(batches):
+            yield part.filter(pa.array(judged(shared.value, part.column("text"), wanted)[1] >= keep_tail))
+
+    return docs.mapInArrow(keep, docs.schema)
