@@ -4,10 +4,10 @@ Every token window of a document is hashed through fixed masks that ignore
 selected positions, and looked up among the benchmark's windows hashed through
 the same masks; a substituted token therefore spoils a seed only where a mask
 looks. Around every hit the two texts are laid side by side on the hit's
-diagonal and the best stretch is taken (+1 for an equal token, -MISMATCH for
-another). A stretch of at least MIN_MATCHED equal tokens, and at least
-MIN_SHARE of its length equal, is an overlap; so is one that covers a whole
-item shorter than that, if it has MIN_ITEM tokens.
+diagonal and the longest stretch with at least MIN_SHARE of its length equal is
+taken; no other such stretch has more equal tokens. With at least MIN_MATCHED
+equal tokens it is an overlap; so is one that covers a whole item shorter than
+that, if it has MIN_ITEM tokens.
 
 Tokens: lower-cased words without punctuation at their edges.
 
@@ -34,7 +34,9 @@ from graphloom.llm.common import hash_strings, id_and_text, mix, split_words, te
 
 #: Fixed masks: 1 looks, 0 ignores. Any stretch of 12 tokens with two substitutions, or one of 20 with four, has a hit of one of them (tests hold it).
 MASKS = ("111111", "1101011", "11001011", "110010001011")
-MIN_MATCHED, MIN_SHARE, MISMATCH, MIN_ITEM = 10, 0.75, 2, 6
+MIN_MATCHED, MIN_SHARE, MIN_ITEM = 10, 0.75, 6
+#: What another token costs in the chains that the tests' brute force extends; verification goes by MIN_SHARE alone.
+MISMATCH = 2
 PORTION_BYTES = 32 << 20
 FILTER_BITS = 22
 EDGES = ".,;:!?|#$%&*\"'()[]{}<>«»„“”‘’…-_/\\=+~^`"
@@ -62,13 +64,17 @@ def seeds(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(begin, end, matched) of the stretch with the highest score."""
-    score = np.cumsum(np.where(equal, 1, -MISMATCH))
-    before = np.concatenate([[0], score[:-1]])
-    low = np.minimum.accumulate(before)
-    end = int(np.argmax(score - low))
-    begin = int(np.flatnonzero(before[: end + 1] == low[end])[-1])
-    return begin, end + 1, int(equal[begin : end + 1].sum())
+    """(begin, end, matched) of the longest stretch with a share of MIN_SHARE equal, without unequal tokens at its ends.
+
+    It has the most equal tokens of all such stretches: one with more would
+    still have the share when longer than this one.
+    """
+    score = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - MIN_SHARE, -MIN_SHARE))])
+    begins = np.searchsorted(-np.minimum.accumulate(score), -score, side="left")
+    end = int(np.argmax(np.arange(len(score)) - begins))
+    begin = int(begins[end])
+    at = np.flatnonzero(equal[begin:end])
+    return (begin + int(at[0]), begin + int(at[-1]) + 1, len(at)) if len(at) else (0, 0, 0)
 
 
 @dataclass
@@ -99,7 +105,7 @@ class Benchmark:
         return cls(np.asarray(item_ids, dtype=np.int64), offsets, hashes, seed[order], place[order], table)
 
     def overlaps(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
-        """(row, item_id, first token, end token, matched) of every overlap: the best one on each diagonal, for each row and item the one that matches most."""
+        """(row, item_id, first token, end token, matched) of every overlap: the longest one on each diagonal, for each row and item the one that matches most."""
         offsets, hashes = tokens(texts)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         item_row = np.repeat(np.arange(len(self.item_ids)), np.diff(self.offsets))
@@ -124,7 +130,7 @@ class Benchmark:
             end = min(len(theirs), len(ours) - shift)
             b, e, matched = best_stretch(theirs[begin:end] == ours[begin + shift : end + shift])
             enough = min(MIN_MATCHED, len(theirs))
-            if len(theirs) >= MIN_ITEM and matched >= enough and matched >= MIN_SHARE * (e - b) and matched > best.get((r, item), (0, 0, 0))[2]:
+            if len(theirs) >= MIN_ITEM and matched >= enough and matched > best.get((r, item), (0, 0, 0))[2]:
                 best[r, item] = (begin + shift + b, begin + shift + e, matched)
         return [(r, int(self.item_ids[item]), *where) for (r, item), where in best.items()]
 

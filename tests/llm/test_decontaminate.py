@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from graphloom.llm import decontaminate as dec
 
 
@@ -67,3 +69,20 @@ def test_every_portion_counts(spark, make_docs, monkeypatch):
 def test_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dec.overlapping(make_docs([]), none).count() == 0 and dec.overlapping(make_docs([(1, "a")]), none).count() == 0
+
+
+def accepted(equal):
+    """The most equal tokens of any stretch with the share, by all stretches; 0 where none has MIN_MATCHED."""
+    sums = np.concatenate([[0], np.cumsum(equal)])
+    most = max((int(sums[b] - sums[a]) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if sums[b] - sums[a] >= dec.MIN_SHARE * (b - a)), default=0)
+    return most if most >= dec.MIN_MATCHED else 0
+
+
+def test_stretches_are_verified_as_defined():
+    rng = np.random.default_rng(5)
+    cases = [np.array([k not in bad for k in range(n)]) for n, few in ((12, 2), (16, 3)) for bad in combinations(range(n), few)]
+    cases += [np.array([True] * 9 + [False] * 5 + [True] * 9)] + [rng.random(rng.integers(1, 60)) < rng.choice([0.5, 0.7, 0.8]) for _ in range(400)]
+    for equal in cases:
+        begin, end, matched = dec.best_stretch(equal)
+        assert matched == equal[begin:end].sum() and matched >= dec.MIN_SHARE * (end - begin)
+        assert (matched if matched >= dec.MIN_MATCHED else 0) == accepted(equal)
