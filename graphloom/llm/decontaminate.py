@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import hash_strings, id_and_text, mix, split_words, text_parts
 
-#: Fixed masks: 1 looks, 0 ignores. Any stretch of 12 tokens with two substitutions, or one of 20 with four, has a hit of one of them (tests hold it).
-MASKS = ("111111", "1101011", "11001011", "110010001011")
+#: Fixed masks: 1 looks, 0 ignores. Any stretch with MIN_MATCHED equal tokens and a share of MIN_SHARE has a hit of one of them. Of 20 equal tokens or more, one half has the share too, so stretches of at most 19 equal tokens prove it, and tests go through them all.
+MASKS = ("111111", "1101011", "11001011", "110010001011", "11100010011", "1110101001")
 MIN_MATCHED, MIN_SHARE, MIN_ITEM = 10, 0.75, 6
 #: What another token costs in the chains that the tests' brute force extends; verification goes by MIN_SHARE alone.
 MISMATCH = 2

@@ -86,3 +86,42 @@ def test_stretches_are_verified_as_defined():
         begin, end, matched = dec.best_stretch(equal)
         assert matched == equal[begin:end].sum() and matched >= dec.MIN_SHARE * (end - begin)
         assert (matched if matched >= dec.MIN_MATCHED else 0) == accepted(equal)
+
+
+def test_every_accepted_stretch_has_a_seed():
+    for matched in range(dec.MIN_MATCHED, 2 * dec.MIN_MATCHED):
+        for n in range(matched, int(matched / dec.MIN_SHARE) + 1):
+            stretches = np.array([(1 << n) - 1 - sum(1 << k for k in bad) for bad in combinations(range(1, n - 1), n - matched)])
+            seeded = np.zeros(len(stretches), bool)
+            for mask in dec.MASKS:
+                for begin in range(n - len(mask) + 1):
+                    seeded |= stretches >> begin & int(mask, 2) == int(mask, 2)
+            assert seeded.all()
+
+
+def test_every_fourth_token_substituted():
+    for n in (13, 40, 100, 1000):
+        item = [f"w{k}" for k in range(n)]
+        held = dec.Benchmark.of([7], [" ".join(item)])
+        text = " ".join("zz" if k % 4 == 3 else w for k, w in enumerate(item))
+        assert [(f[1], f[4]) for f in held.overlaps(dec.pa.array([text]))] == [(7, n - n // 4)]
+
+
+def test_nothing_is_lost():
+    rng = random.Random(8)
+    items = [(k, [f"{k}w{j}" for j in range(rng.randint(13, 40))]) for k in range(30)]
+    docs = []
+    for d in range(600):
+        t = rng.choice(items)[1]
+        t = [f"zz{d}" if rng.random() < 0.22 else w for w in t]
+        docs.append(["x"] * rng.randint(0, 5) + t + ["y"] * rng.randint(0, 5))
+    held = dec.Benchmark.of([i for i, _ in items], [" ".join(t) for _, t in items])
+    got = {(f[0], f[1]): f[4] for f in held.overlaps(dec.pa.array([" ".join(w) for w in docs]))}
+    want = {}
+    for d, ours in enumerate(docs):
+        for i, theirs in items:
+            if set(theirs) & set(ours):
+                shifts = {ours.index(w) - k for k, w in enumerate(theirs) if w in ours}
+                most = max(accepted(np.array([ours[k + s] == w for k, w in enumerate(theirs) if 0 <= k + s < len(ours)])) for s in shifts)
+                want |= {(d, i): most} if most else {}
+    assert got == want and len(want) > 100
