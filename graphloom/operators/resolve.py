@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.columns import base_name, language_family, proximity
+from graphloom.functions.columns import LANGUAGE_FAMILIES, base_name, language_family, proximity
 
 #: More candidates than this say nothing.
 AMBIGUOUS = 500
@@ -25,6 +25,12 @@ def language_gate() -> Column:
     return ours.isNull() | theirs.isNull() | (ours == theirs)
 
 
+def gate_families(language: Column) -> Column:
+    """The families, empty for an unknown one, that pass the gate with a language; it holds both ways."""
+    family = language_family(language)
+    return F.when(family.isNull(), F.array(*map(F.lit, ["", *LANGUAGE_FAMILIES]))).otherwise(F.array(family, F.lit("")))
+
+
 def candidate_score() -> Column:
     """How well a candidate fits its reference: file, folders, language, kind, export, distance."""
     same_file = F.col("target_file") == F.col("file_path")
@@ -37,13 +43,16 @@ def candidate_score() -> Column:
 def by_exact_name(refs: DataFrame, nodes: DataFrame, most: int = AMBIGUOUS) -> DataFrame:
     """(ref_id, target, confidence, resolved_by): one candidate .9 (.5 in another language); of several the best, .7 if near, else .4; none of more than `most`.
 
-    Names with too many candidates are dropped before the join, which also
-    takes the hot keys out of it.
+    Candidates are counted as the language gate lets them through. Names with
+    too many for a reference's family are dropped before the join, which is by
+    name and family, so it makes no pair that the gate or the ceiling drops.
     """
-    pool = _candidates(nodes.filter("kind <> 'import'"))
-    counted = pool.groupBy("target_name").agg(F.count(F.lit(1)).alias("named"))
-    gated = refs.join(counted.filter(F.col("named") <= most * 4).select(F.col("target_name").alias("reference_name")), "reference_name", "left_semi")
-    joined = gated.join(pool, F.col("reference_name") == F.col("target_name")).filter(language_gate())
+    known = lambda c: F.coalesce(language_family(F.col(c)), F.lit(""))
+    pool = _candidates(nodes.filter("kind <> 'import'")).withColumn("target_family", known("target_language"))
+    counted = pool.groupBy("target_name", "target_family").agg(F.count(F.lit(1)).alias("named"), F.first(gate_families(F.col("target_language"))).alias("passing"))
+    few = counted.select(F.col("target_name").alias("reference_name"), "named", F.explode("passing").alias("family")).groupBy("reference_name", "family").agg(F.sum("named").alias("named")).filter(F.col("named") <= most)
+    gated = refs.withColumn("family", known("language")).join(few, ["reference_name", "family"], "left_semi").withColumn("target_family", F.explode(gate_families(F.col("language"))))
+    joined = gated.join(pool, (F.col("reference_name") == F.col("target_name")) & (gated["target_family"] == pool["target_family"]))
     per_ref = Window.partitionBy("ref_id")
     same = F.col("target_language") == F.col("language")
     joined = joined.withColumn("n", F.count(F.lit(1)).over(per_ref)).withColumn("any_same", F.max(same).over(per_ref)).filter(F.col("n") <= most)

@@ -4,7 +4,7 @@ import sqlite3
 
 import pytest
 
-from graphloom.operators import catalogs, changes, search, store
+from graphloom.operators import catalogs, changes, resolve, search, store
 from graphloom.sources import extract
 from graphloom.streaming import sync
 
@@ -111,3 +111,19 @@ def test_extraction(spark, tmp_path):
     assert {(r.framework, r.method, r.route) for r in extract.routes(files).collect()} >= {("flask", "route", "/x"), ("express", "get", "/users")}
     bad = extract.extract(files).filter("path = 'pkg/bad.py'").first()
     assert bad.errors and len(bad.nodes) == 1
+
+
+def test_the_ceiling_counts_candidates_behind_the_language_gate(spark):
+    schema = "id string, name string, kind string, qualified_name string, file_path string, language string, is_exported boolean, start_line int"
+    many = [("swift", 2100, "get"), ("java", 1, "get"), ("cpp", 300, "get"), ("java", 500, "put"), ("java", 501, "set"), ("java", 499, "pop"), (None, 1, "pop"), ("cpp", 1, "pop"), ("java", 500, "add"), ("python", 1, "add")]
+    nodes = [(f"{name}:{language}:{k:04}", name, "function", name, f"src/{language}{k}", language, True, k) for language, n, name in many for k in range(n)]
+    family = {"swift": "apple", "java": "jvm", "kotlin": "jvm", "cpp": "c"}
+    passes = lambda a, b: family.get(a) is None or family.get(b) is None or family[a] == family[b]
+    refs = [(f"{language}:{name}", name, "calls", "src/main", language, 1) for language in ("swift", "java", "kotlin", "cpp", "python", None) for name in ("get", "put", "set", "pop", "add", "none")]
+    got = {r.ref_id: r for r in resolve.by_exact_name(spark.createDataFrame(refs, "ref_id string, reference_name string, reference_kind string, file_path string, language string, line int"), spark.createDataFrame(nodes, schema)).collect()}
+    counts = {r[0]: sum(n for language, n, name in many if name == r[1] and passes(r[4], language)) for r in refs}
+    assert got["java:get"].target == "get:java:0000" and got["java:get"].confidence == 0.9 and got["kotlin:get"].confidence == 0.5
+    assert got["cpp:get"].target.startswith("get:cpp") and "java:put" in got and "java:pop" in got
+    assert not [r for r in got if not 0 < counts[r] <= resolve.AMBIGUOUS]
+    same = {(language, name) for language, _, name in many}
+    assert not [r[0] for r in refs if r[0] not in got and 0 < counts[r[0]] <= resolve.AMBIGUOUS and (r[4], r[1]) in same]
