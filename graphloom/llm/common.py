@@ -38,6 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of written tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for file in table.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -126,10 +135,10 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 BROADCAST_ROWS = 1_000_000
 
 
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that labels (doc_id, ...; one row each) has, with its columns. Labels are broadcast if their counted size allows, else both sides are shuffled."""
+def with_labels(docs: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The documents that labels (keys, ...; one row each) has, with its columns. Labels are broadcast if their counted size allows, else both sides are shuffled."""
     small = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(labels) if small else labels, "doc_id")
+    return docs.join(F.broadcast(labels) if small else labels, keys or ["doc_id"])
 
 
 def without_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -139,6 +148,14 @@ def without_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
 
 
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is none of ids (one column), with all their columns; rows without a doc_id stay. The name under which ids are joined is new each time, so no column can clash with it."""
+    name = f"gone_{uuid.uuid4().hex}"
+    gone = written(ids.toDF(name).filter(F.col(name).isNotNull()).distinct(), "gone")
+    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+
+
 def hash_sample(labels: DataFrame, most: int) -> DataFrame:
     """About `most` rows, chosen by the hash of doc_id; all rows where there are fewer."""
     n = labels.count()

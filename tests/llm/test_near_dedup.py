@@ -64,7 +64,7 @@ def test_against_brute_force(make_docs, seed, similarity):
 
 def test_blocks_find_what_hubs_miss(make_docs, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
-    monkeypatch.setattr(near_dedup, "TILE", 2)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 7)
     rows = corpus(4)
     got = {r.doc_id: r.component_id for r in near_dedup.link_components(make_docs(rows), 85).collect()}
     assert got == {i: v[1] for i, v in brute(rows, 85).items()}
@@ -82,3 +82,65 @@ def test_defined_cases(make_docs):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(0, 0, True), (3, 3, True), (3, 3, True), (5, 3, False)]
     kept = near_dedup.keep_one_of_each(make_docs([(3, "a b c d e f"), (5, "A b c d e f"), (6, "z")]))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and sorted(r.doc_id for r in kept.collect()) == [3, 6]
+
+
+def far_group(seed, members=60):
+    """Near copies of one text, each too far from it, with some that share their changes."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    changed = lambda words, n: [f"x{rng.random()}" if i in set(rng.sample(range(len(words)), n)) else w for i, w in enumerate(words)]
+    rows = [" ".join(base)]
+    for _ in range(members):
+        rows.append(" ".join(changed(base, 5)))
+    for _ in range(8):
+        child = changed(base, 5)
+        rows += [" ".join(child), " ".join(changed(child, 1)), " ".join(changed(child, 1))]
+    return list(enumerate(rows))
+
+
+def test_members_that_miss_the_hub_meet_each_other(make_docs):
+    rows = far_group(7)
+    got = {r.doc_id: r.component_id for r in near_dedup.link_components(make_docs(rows), 80).collect()}
+    assert got == {i: v[1] for i, v in brute(rows, 80).items()}
+
+
+def test_rows_that_share_an_id_link_as_any_of_their_texts(make_docs):
+    big = " ".join(f"w{i}" for i in range(60))
+    docs = make_docs([(3, "short one"), (3, big), (4, big + " more"), (5, "other text")])
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.link_components(docs, 80).collect()) == [(3, 3, True), (3, 3, True), (4, 3, False), (5, 5, True)]
+
+
+def test_clashing_columns_ties_and_long_texts(make_docs):
+    long_text = " ".join(f"w{i % 9973}v{i}" for i in range(60_000))
+    docs = make_docs([(2, long_text), (1, long_text + " end"), (7, "a b c d e f"), (8, "a b c d e f"), (9, None), (None, long_text)], ["gone_id", "rep", "hub", "value", "print", "first"])
+    kept = near_dedup.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.select("doc_id").collect() if r.doc_id is not None) == [(False, 1), (False, 7), (False, 9)]
+    assert kept.filter("doc_id IS NULL").count() == 1
+
+
+def test_delta_links_are_exact():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    hub = set(range(100))
+    sets = []
+    for k in range(30):
+        s = set(hub) - set(rng.sample(range(100), rng.randint(0, 20))) | {1_000 + rng.randrange(40) for _ in range(rng.randint(0, 20))}
+        sets.append(s)
+    jaccard = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    outside = [not jaccard(s, hub) for s in sets]
+    rows = pa.table({"side": [0] * 30, "rep": list(range(30)), "n": [len(s) for s in sets], "common": [len(s & hub) for s in sets], "hub_n": [100] * 30, "outside": outside, "delta": [np.array(sorted(s ^ hub), np.int64).tobytes() for s in sets]})
+    a, b = near_dedup.delta_links(80)(rows)
+    assert all(jaccard(sets[x], sets[y]) for x, y in zip(a.tolist(), b.tolist())) and len(a) < 30
+    root = {i: (i if outside[i] else -1) for i in range(30)}
+
+    def merged(pairs, root):
+        root = dict(root)
+        for x, y in pairs:
+            old, new = root[x], root[y]
+            root = {k: new if v == old else v for k, v in root.items()}
+        return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+    assert merged(zip(a.tolist(), b.tolist()), root) == merged([(x, y) for x, y in combinations(range(30), 2) if jaccard(sets[x], sets[y])], root)
