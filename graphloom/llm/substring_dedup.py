@@ -8,25 +8,33 @@ A suffix array of the whole corpus would be one object of the corpus' size.
 It is cut by content instead: every window of WINDOW bytes belongs to the
 smallest hash of the GRAM-byte strings in it, its anchor, so equal windows have
 equal anchors wherever they are. Windows in a row with one anchor make a
-stretch.
-
-1. Each task reduces its stretches to one per anchor, content and first
-   document; later copies within the task are spans already. The others are
-   shipped as packed columns (hashes, not text), dealt by anchor.
-2. For each anchor, a stretch whose whole content is in an earlier document is
-   a span. What is left are anchors whose stretches differ: the edges of
-   repeated passages, where a window may still match although the stretch does
-   not.
+stretch. Longest-previous-factor arrays decide every window, first over
+stretches by name, then over bytes:
+
+1. A stretch is named by (anchor, hash of its content). Sorted by name, each has
+   the whole stretch in common with the one before it, or nothing; where the
+   previous or next smaller position (by document) shares the name, the longest
+   previous factor is the stretch and all its windows go. Each task does this to
+   what it reads, some FLUSH_STRETCHES at a time, and ships the others as packed
+   columns (hashes, not text), dealt by anchor.
+2. The same for each anchor over all tasks. What is left are anchors whose
+   stretches differ: the edges of repeated passages, where a window may match
+   although the stretch does not.
 3. The text of those stretches only is fetched, and the suffixes of each
    anchor's stretches are sorted to WINDOW bytes. The previous and next smaller
-   positions (by document) in suffix order give each suffix its longest factor
-   in an earlier document; where it reaches WINDOW, the window is a span. An
-   anchor with more stretches than MOST_STRETCHES (a very common phrase) would
-   be too much for a task: its windows are compared through a group-by of
-   their hashes, pre-aggregated in every task.
+   positions in suffix order give each suffix its longest factor in an earlier
+   document; where it reaches WINDOW, the window is a span.
 4. The spans of a document are merged and cut from its bytes.
 
-Content equality in steps 1, 2 and hot anchors is by 104 to 128 hash bits.
+Common anchors (a phrase that a third of all documents have) are split: a task
+that meets more than LOCAL_CONTENTS different stretches of one anchor sends
+them straight to step 3, with word to the others that the anchor is common;
+there an anchor with more than WHOLE_STRETCHES is dealt by the hash of its
+windows, after each task has reduced equal windows to those of the first
+document. Segments grow in number with the input, so no task holds more than
+some SEGMENT_BYTES of text, whatever its size.
+
+Names are 128 bits: 64 of the anchor, 64 of the content. Step 3 compares bytes.
 
 Defined cases: null text counts as empty; a null doc_id counts as larger than
 any other; rows that share a doc_id never remove from each other; texts under
@@ -37,6 +45,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,12 +58,17 @@ from graphloom.llm.common import id_and_text, join_groups, mix, text_parts, with
 WINDOW, GRAM = 50, 20
 LONGEST_RUN = 48
 #: Bytes hashed at a time; longer texts are read in chunks that overlap by a window.
-CHUNK = 2 << 20
-FLUSH_STRETCHES = 4_000_000
-SEGMENTS = 256
-MOST_STRETCHES = 20_000
+CHUNK = 512 << 10
+#: Stretches that a task sorts at a time before it ships them.
+FLUSH_STRETCHES = 400_000
+#: Bytes of text whose stretches make a segment, about, and the fewest segments.
+SEGMENT_BYTES, LEAST_SEGMENTS = 8 << 20, 256
+#: Different stretches of an anchor in one flush beyond which it is common.
+LOCAL_CONTENTS = 64
+#: Stretches of an anchor that are sorted whole; more are dealt by window, to a bucket for each so many.
+WHOLE_STRETCHES, BUCKET_STRETCHES = 1_000, 200
 #: Stretches whose suffixes are sorted at a time, about.
-SORTED_STRETCHES = 40_000
+SORTED_STRETCHES = 10_000
 NO_ID = (1 << 63) - 1
 MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLY[0])
@@ -88,8 +102,23 @@ def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gram, mix(window * MULTIPLY[6] + powers[2][48 : 48 + w])
 
 
-def stretches(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor, content) of the stretches of one piece of text of at least WINDOW bytes, for all its windows."""
+def chunks(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, end row, first byte, end byte): rows of `size` bytes together, or a part of a longer one."""
+    row = 0
+    while row < len(offsets) - 1:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
+        if offsets[end] - offsets[row] <= size:
+            yield row, end, int(offsets[row]), int(offsets[end])
+        else:
+            for begin in range(int(offsets[row]), int(offsets[end]) - WINDOW + 1, size):
+                yield row, end, begin, min(int(offsets[end]), begin + size + WINDOW - 1)
+        row = end
+
+
+def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, windows, anchor, content) of the stretches of consecutive texts that end at `ends`, for all windows within one text."""
+    if len(data) < WINDOW:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     gram, window = window_hashes(data)
     low, width = gram, 1
     span = WINDOW - GRAM + 1
@@ -97,36 +126,66 @@ def stretches(data: np.ndarray) -> tuple[np.ndarray, ...]:
         low = np.minimum(low[: len(low) - width], low[width:])
         width *= 2
     low = np.minimum(low[: len(window)], low[span - width : span - width + len(window)])
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    new = np.concatenate([[True], low[1:] != low[:-1]])
+    new[ends[ends < len(new)]] = True
+    first = np.flatnonzero(new)
     run = np.diff(np.concatenate([first, [len(low)]]))
-    if run.max() > LONGEST_RUN:
+    run = np.minimum(run, ends[np.searchsorted(ends, first, side="right")] - WINDOW + 1 - first)  # windows beyond the text's end do not count
+    first, run = first[run > 0], run[run > 0]
+    if len(run) and run.max() > LONGEST_RUN:
         parts = -(-run // LONGEST_RUN)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        last = np.repeat(first + run, parts)
         first = np.repeat(first, parts) + nth * LONGEST_RUN
-        run = np.diff(np.concatenate([first, [len(low)]]))
-        run = np.minimum(run, LONGEST_RUN)
+        run = np.minimum(last - first, LONGEST_RUN)
     return first, run, low[first], mix(window[first] * MULTIPLY[1] + window[first + run - 1] * MULTIPLY[2] + run.astype(np.uint64))
 
 
 STRETCH = np.dtype([("anchor", np.uint64), ("content", np.uint64), ("order", np.int64), ("print", np.int64), ("start", np.int32), ("run", np.int32)])
 
 
-def text_stretches(part: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """The stretches of each row of (order, print, text)."""
+def text_stretches(part: pa.RecordBatch, chunk: int) -> Iterator[np.ndarray]:
+    """The stretches of rows of (order, print, text)."""
     data, offsets = text_bytes(part.column("text"))
     orders, prints = (np.asarray(part.column(c), dtype=np.int64) for c in ("order", "print"))
-    for k in np.flatnonzero(np.diff(offsets) >= WINDOW).tolist():
-        begin, end = offsets[k], offsets[k + 1]
-        for chunk in range(begin, end - WINDOW + 1, CHUNK):
-            first, run, anchor, content = stretches(data[chunk : min(end, chunk + CHUNK + WINDOW - 1)])
-            out = np.empty(len(first), STRETCH)
-            out["anchor"], out["content"], out["order"], out["print"] = anchor, content & np.uint64((1 << 40) - 1), orders[k], prints[k]
-            out["start"], out["run"] = first + (chunk - begin), run
-            yield out
+    for row, end_row, begin, end in chunks(data, offsets, chunk):
+        ends = np.minimum(offsets[row + 1 : end_row + 1], end) - begin
+        first, run, anchor, content = stretches(data[begin:end], ends)
+        owner = row + np.searchsorted(ends, first, side="right")
+        out = np.empty(len(first), STRETCH)
+        out["anchor"], out["content"], out["order"], out["print"] = anchor, content, orders[owner], prints[owner]
+        out["start"], out["run"] = first + begin - offsets[owner], run
+        yield out
+
+
+def longest_previous_factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each suffix in suffix order, its longest common prefix with any suffix of a smaller position.
+
+    position: of each suffix, in suffix order; common: its common prefix with
+    the suffix before it. The longest one is with the previous or the next
+    smaller position in suffix order. All suffixes look for theirs at once: one
+    that meets a larger position goes on to where that one has come to, and
+    stops where nothing is in common any more.
+    """
+    out = np.zeros(len(position), np.int64)
+    for turned in (False, True):
+        p = position[::-1] if turned else position
+        held = np.concatenate([[0], common[:0:-1]]) if turned else common.copy()  # in common with the suffix at `at` and all between
+        held[:1] = 0
+        at = np.arange(len(p)) - 1
+        open_ = np.flatnonzero(held > 0)
+        open_ = open_[p[at[open_]] >= p[open_]]
+        while len(open_):
+            via = at[open_]
+            held[open_], at[open_] = np.minimum(held[open_], held[via]), at[via]
+            open_ = open_[held[open_] > 0]
+            open_ = open_[p[at[open_]] >= p[open_]]
+        out = np.maximum(out, held[::-1] if turned else held)
+    return out
 
 
 def sorted_stretches(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By anchor, content and document; with marks of the first row of each anchor and of each content."""
+    """By name and document; with marks of the first row of each anchor and of each name."""
     rows = rows[np.lexsort((rows["start"], rows["print"], rows["order"], rows["content"], rows["anchor"]))]
     new_anchor = np.concatenate([[True], rows["anchor"][1:] != rows["anchor"][:-1]]) if len(rows) else np.zeros(0, bool)
     new_content = new_anchor.copy()
@@ -135,9 +194,12 @@ def sorted_stretches(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def repeated(rows: np.ndarray, new_content: np.ndarray) -> np.ndarray:
-    """Which sorted stretches have their content in an earlier document."""
-    first = np.flatnonzero(new_content)
-    return rows["order"] > np.repeat(rows["order"][first], np.diff(np.concatenate([first, [len(rows)]])))
+    """Which sorted stretches have a longest previous factor: an equal name has the whole stretch in common, another name nothing."""
+    same = np.flatnonzero(~new_content | np.append(~new_content[1:], False))  # the others stand alone
+    common = np.where(new_content[same], 0, rows["run"][same].astype(np.int64) - 1 + WINDOW)
+    out = np.zeros(len(rows), bool)
+    out[same] = longest_previous_factors(rows["order"][same], common) >= WINDOW
+    return out
 
 
 def merged_spans(rows: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -154,8 +216,9 @@ def merged_spans(rows: np.ndarray) -> tuple[np.ndarray, ...]:
     return rows["order"][new], rows["print"][new], rows["start"][new], (reach - lift)[last].astype(np.int32)
 
 
-SHIPPED = pa.schema([("segment", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()), ("data", pa.binary())])
-#: n = 0: one span, of the document and place in docs.
+#: What a row of SHIPPED holds: one span; stretches; stretches of common anchors; common anchors.
+SPAN, STRETCHES, COMMON_STRETCHES, COMMON = range(4)
+SHIPPED = pa.schema([("segment", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()), ("data", pa.binary())])
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -169,22 +232,29 @@ def from_planes(data: memoryview, n: int, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def packed(rows: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
-    segment = (mix(rows["anchor"] + MULTIPLY[3]) % np.uint64(SEGMENTS)).astype(np.int64)
+def dealt(key: np.ndarray, segments: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(segment, rows) for each segment that has any."""
+    segment = (mix(key + MULTIPLY[3]) % np.uint64(segments)).astype(np.int64)
     order = np.argsort(segment, kind="stable")
-    bounds = np.searchsorted(segment[order], np.arange(SEGMENTS + 1))
-    for s in range(SEGMENTS):
-        r = rows[order[bounds[s] : bounds[s + 1]]]
-        if len(r):
-            docs, index = np.unique(np.stack([r["order"], r["print"]], axis=1), axis=0, return_inverse=True)
-            data = planes(np.diff(r["anchor"], prepend=np.uint64(0)), 8) + planes(r["content"], 5) + planes(index.ravel().astype(np.uint32), 4) + planes(r["start"].astype(np.uint32), 4) + planes(r["run"].astype(np.uint8), 1)
-            yield s, len(r), docs.tobytes(), data
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(segment[order]) > 0])) if len(order) else order
+    for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(order)]):
+        yield int(segment[order[begin]]), order[begin:end]
+
+
+def packed(rows: np.ndarray, kind: int, segments: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    for segment, pick in dealt(rows["anchor"] if kind == STRETCHES else rows["content"], segments):
+        r = rows[pick]
+        new = np.concatenate([[True], (r["order"][1:] != r["order"][:-1]) | (r["print"][1:] != r["print"][:-1])])
+        docs = np.stack([r["order"][new], r["print"][new]], axis=1)
+        index = (np.cumsum(new) - 1).astype(np.uint32)
+        data = planes(np.diff(r["anchor"], prepend=np.uint64(0)), 8) + planes(r["content"], 8) + planes(index, 4) + planes(r["start"].astype(np.uint32), 4) + planes(r["run"].astype(np.uint8), 1)
+        yield segment, kind, len(r), docs.tobytes(), data
 
 
 def unpacked(n: int, docs: bytes, data: bytes) -> np.ndarray:
     out, view, at = np.empty(n, STRETCH), memoryview(data), 0
     columns = []
-    for width in (8, 5, 4, 4, 1):
+    for width in (8, 8, 4, 4, 1):
         columns.append(from_planes(view[at : at + width * n], n, width))
         at += width * n
     keys = np.frombuffer(docs, np.int64).reshape(-1, 2)[columns[2].astype(np.int64)]
@@ -193,61 +263,88 @@ def unpacked(n: int, docs: bytes, data: bytes) -> np.ndarray:
     return out
 
 
-def ship_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def ship_stretches(segments: int, chunk: int, flush: int, local_contents: int):
     """Step 1."""
-    held: list[np.ndarray] = []
-
-    def ship():
-        rows, _, new_content = sorted_stretches(np.concatenate(held))
+    def ship(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows, new_anchor, new_content = sorted_stretches(np.concatenate(held))
         held.clear()
         late = repeated(rows, new_content)
-        out = [(int(o % SEGMENTS), 0, np.array([o, p], np.int64).tobytes(), np.array([s, e], np.int32).tobytes()) for o, p, s, e in zip(*(x.tolist() for x in merged_spans(rows[late])))]
-        out += packed(rows[~late])
+        group = np.cumsum(new_anchor) - 1
+        common = (np.bincount(group, new_content) > local_contents)[group] if len(rows) else late
+        out = [(int(o % segments), SPAN, 1, np.array([o, p], np.int64).tobytes(), np.array([s, e], np.int32).tobytes()) for o, p, s, e in zip(*(x.tolist() for x in merged_spans(rows[late])))]
+        out += packed(rows[~late & ~common], STRETCHES, segments)
+        out += packed(rows[~late & common], COMMON_STRETCHES, segments)
+        anchors = rows["anchor"][new_anchor & common]
+        out += [(segment, COMMON, len(pick), b"", anchors[pick].tobytes()) for segment, pick in dealt(anchors, segments)]
+        del rows
         for k in range(0, len(out), 2_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 2_000]), SHIPPED)], schema=SHIPPED)
 
-    for part in text_parts(batches):
-        held += text_stretches(part)
-        if sum(len(h) for h in held) > FLUSH_STRETCHES:
-            yield from ship()
-    if held:
-        yield from ship()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for part in text_parts(batches):
+            for rows in text_stretches(part, chunk):
+                held.append(rows)
+                n += len(rows)
+                if n > flush:
+                    yield from ship(held)
+                    n = 0
+        if held:
+            yield from ship(held)
+
+    return run
+
 
+FOUND = "order long, print long, start int, end int, anchor long, mixed boolean"
+FOUND_SCHEMA = pa.schema([("order", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("anchor", pa.int64()), ("mixed", pa.bool_())])
 
-FOUND = "order long, print long, start int, end int, anchor long, content long"
-FOUND_SCHEMA = pa.schema([("order", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64())])
+
+def _found_mixed(r: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(r["order"].copy()), pa.array(r["print"].copy()), pa.array(r["start"].copy()), pa.array((r["start"] + r["run"] - 1 + WINDOW).astype(np.int32)), pa.array(r["anchor"].copy().view(np.int64)), pa.array(np.ones(len(r), bool))], schema=FOUND_SCHEMA)
+
+
+def _found_spans(order, prints, start, end) -> pa.RecordBatch:
+    n = len(order)
+    return pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(prints, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, bool))], schema=FOUND_SCHEMA)
 
 
 def settle_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, a segment's rows together: spans (content -1), and the stretches of anchors with several contents."""
-    last, held = None, []
+    """Step 2, a segment's rows together: spans, and the stretches of anchors with several contents."""
+    last, held, common = None, [], []
 
     def settle():
-        rows, new_anchor, new_content = sorted_stretches(np.concatenate(held))
+        if held:
+            rows, new_anchor, new_content = sorted_stretches(np.concatenate(held))
+            late = repeated(rows, new_content)
+            group = np.cumsum(new_anchor) - 1
+            mixed = (np.bincount(group, new_content) > 1)[group]
+            if common:
+                mixed |= np.isin(rows["anchor"], np.concatenate(common))
+            yield _found_spans(*merged_spans(rows[late]))
+            yield _found_mixed(rows[mixed & ~late])
         held.clear()
-        late = repeated(rows, new_content)
-        group = np.cumsum(new_anchor) - 1
-        mixed = (np.bincount(group, new_content) > 1)[group] & ~late
-        order, prints, start, end = merged_spans(rows[late])
-        yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(prints), pa.array(start), pa.array(end), pa.array(np.zeros(len(order), np.int64)), pa.array(np.full(len(order), -1, np.int64))], schema=FOUND_SCHEMA)
-        r = rows[mixed]
-        yield pa.RecordBatch.from_arrays([pa.array(r["order"].copy()), pa.array(r["print"].copy()), pa.array(r["start"].copy()), pa.array((r["start"] + r["run"] - 1 + WINDOW).astype(np.int32)), pa.array(r["anchor"].copy().view(np.int64)), pa.array(r["content"].astype(np.int64))], schema=FOUND_SCHEMA)
+        common.clear()
 
     for batch in batches:
         spans: list[tuple[int, int, int, int]] = []
-        for segment, n, docs, data in zip(*(batch.column(c).to_pylist() for c in ("segment", "n", "docs", "data"))):
-            if n == 0:
+        for segment, kind, n, docs, data in zip(*(batch.column(c).to_pylist() for c in ("segment", "kind", "n", "docs", "data"))):
+            if kind == SPAN:
                 spans.append((*np.frombuffer(docs, np.int64).tolist(), *np.frombuffer(data, np.int32).tolist()))
                 continue
-            if held and segment != last:
+            if kind == COMMON_STRETCHES:
+                yield _found_mixed(unpacked(n, docs, data))
+                continue
+            if segment != last:
                 yield from settle()
             last = segment
-            held.append(unpacked(n, docs, data))
+            if kind == COMMON:
+                common.append(np.frombuffer(data, np.uint64))
+            else:
+                held.append(unpacked(n, docs, data))
         if spans:
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*spans), FOUND_SCHEMA)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([0] * len(spans), pa.int64()), pa.array([-1] * len(spans), pa.int64())], schema=FOUND_SCHEMA)
-    if held:
-        yield from settle()
+            yield _found_spans(*zip(*spans))
+    yield from settle()
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -276,33 +373,8 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int = WINDOW) -> t
     return order, common
 
 
-def longest_previous_factors(position: list[int], common: list[int]) -> list[int]:
-    """For each suffix in suffix order, its longest common prefix with any suffix of a smaller position.
-
-    position: of each suffix, in suffix order; common: its common prefix with
-    the suffix before it. The longest one is with the previous or the next
-    smaller position in suffix order; a stack finds both.
-    """
-    n = len(position)
-    out = [0] * n
-    for sweep in (range(n), range(n - 1, -1, -1)):
-        stack: list[tuple[int, int]] = []  # (position, common prefix with the suffix at hand since it was pushed)
-        forward = sweep.step == 1
-        for i in sweep:
-            here = common[i] if forward else (common[i + 1] if i + 1 < n else 0)
-            least = here
-            while stack and stack[-1][0] >= position[i]:
-                least = min(least, stack.pop()[1])
-            if stack:
-                p, c = stack[-1]
-                stack[-1] = (p, min(c, least))
-                out[i] = max(out[i], min(c, least))
-            stack.append((position[i], 1 << 30))
-    return out
-
-
-def repeated_windows(texts: list[bytes], anchors: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stretch, offset) of every window that also starts in a stretch of an earlier document. Suffixes of one anchor only meet each other, because equal windows have equal anchors."""
+def repeated_windows(texts: list[bytes], orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, offset) of every window that also starts in a stretch of an earlier document. Equal windows have equal anchors, so the stretches of one anchor only meet each other."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts])
     begin = np.cumsum(size) - size
@@ -313,82 +385,105 @@ def repeated_windows(texts: list[bytes], anchors: np.ndarray, orders: np.ndarray
     full = common >= WINDOW
     near = full | np.concatenate([full[1:], [False]])  # others have no factor of WINDOW bytes on either side
     kept = order[near]
-    factors = np.array(longest_previous_factors(orders[owner[kept]].tolist(), common[near].tolist()))
-    hit = kept[factors >= WINDOW] if len(kept) else kept
+    hit = kept[longest_previous_factors(orders[owner[kept]], np.where(full, common, 0)[near]) >= WINDOW]
     return owner[hit], offset[hit]
 
 
+PLACED = pa.schema([("anchor", pa.int64()), ("bucket", pa.int32()), ("order", pa.int64()), ("print", pa.int64()), ("starts", pa.list_(pa.int32())), ("context", pa.binary())])
+SPANS = "order long, print long, start int, end int"
+
+
 def edge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, an anchor's rows together: (order, print, start, end) of repeated windows."""
+    """Step 3, the rows of an anchor's bucket together: (order, print, start, end) of repeated windows."""
     schema = pa.schema(list(FOUND_SCHEMA)[:4])
-    held: list[tuple] = []
 
-    def solve():
-        anchors, orders, prints, starts, texts = zip(*held)
-        held.clear()
-        owner, offset = repeated_windows(list(texts), np.array(anchors), np.array(orders, np.int64))
-        rows = np.empty(len(owner), STRETCH)
-        rows["order"], rows["print"], rows["start"], rows["run"] = np.array(orders, np.int64)[owner], np.array(prints, np.int64)[owner], np.array(starts, np.int64)[owner] + offset, 1
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        _, orders, prints, starts, texts = zip(*held)
+        owner, offset = repeated_windows(list(texts), np.array(orders, np.int64))
+        times = np.array([len(x) for x in starts])[owner]
+        rows = np.empty(int(times.sum()), STRETCH)
+        again = np.repeat(owner, times)
+        rows["order"], rows["print"], rows["run"] = np.array(orders, np.int64)[again], np.array(prints, np.int64)[again], 1
+        rows["start"] = np.array([s for k in owner.tolist() for s in starts[k]], np.int64) + np.repeat(offset, times)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in merged_spans(rows)], schema=schema)
 
+    held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "order", "print", "start", "context"))):
+        keys = zip(batch.column("anchor").to_pylist(), batch.column("bucket").to_pylist())
+        for row in zip(keys, *(batch.column(c).to_pylist() for c in ("order", "print", "starts", "context"))):
             if len(held) >= SORTED_STRETCHES and row[0] != held[-1][0]:
-                yield solve()
+                yield solve(held)
+                held = []
             held.append(row)
     if held:
-        yield solve()
+        yield solve(held)
+
+
+class Windows:
+    """The windows of common anchors in some texts: equal ones are kept for the first document only, the others are spans."""
+
+    def __init__(self):
+        self.first: dict[tuple[int, int, bytes], tuple[int, dict[int, list[int]]]] = {}
+        self.spans: list[tuple[int, int, int]] = []
+
+    def add(self, anchor: int, bucket: int, order: int, mark: int, start: int, window: bytes) -> None:
+        key = (anchor, bucket, window)
+        held = self.first.get(key)
+        if held is None or order < held[0]:
+            if held:
+                self.spans += [(held[0], m, s) for m, starts in held[1].items() for s in starts]
+            self.first[key] = (order, {mark: [start]})
+        elif order == held[0]:
+            held[1].setdefault(mark, []).append(start)
+        else:
+            self.spans.append((order, mark, start))
+
+    def rows(self) -> list[tuple]:
+        kept = [(anchor, bucket, order, mark, starts, window) for (anchor, bucket, window), (order, marks) in self.first.items() for mark, starts in marks.items()]
+        return kept + [(0, -1, order, mark, [start], b"") for order, mark, start in self.spans]
 
 
 def contexts(mixed: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(anchor, order, print, start, context): the bytes of stretches. Texts are fetched for their documents only."""
-    places = written(mixed.groupBy("order", "print").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("places")), "sub-places")
+    """PLACED rows: the bytes of stretches, or of single windows for common anchors (bucket -1: a window that is a span already). Texts are fetched for their documents only."""
+    sizes = written(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "sub-sizes")
+    buckets = F.when(F.col("n") > WHOLE_STRETCHES, F.ceil(F.col("n") / BUCKET_STRETCHES)).otherwise(F.lit(0)).cast("int")
+    if sizes.filter(F.col("n") > WHOLE_STRETCHES).limit(1).count():
+        mixed = join_groups(mixed, sizes, ["anchor"], "n")
+    else:
+        mixed = mixed.withColumn("n", F.lit(1))
+    places = written(mixed.groupBy("order", "print").agg(F.collect_list(F.struct("anchor", "start", "end", buckets.alias("buckets"))).alias("places")), "sub-places")
     texts = with_labels(keyed.select(F.col("order").alias("doc_id"), "print", "text"), places.select(F.col("order").alias("doc_id")).distinct())
     both = texts.select(F.col("doc_id").alias("order"), "print", "text").dropDuplicates(["order", "print"]).join(places, ["order", "print"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("anchor", pa.int64()), ("order", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("context", pa.binary())])
         for part in text_parts(batches):
             out: list[tuple] = []
+            windows = Windows()
             for order, mark, text, where in zip(*(part.column(c).to_pylist() for c in ("order", "print", "text", "places"))):
                 data = text.encode()
-                out += [(p["anchor"], order, mark, p["start"], data[p["start"] : p["end"]]) for p in where]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, schema)], schema=schema)
-
-    return both.mapInArrow(cut, "anchor long, order long, print long, start int, context binary")
+                for p in where:
+                    if not p["buckets"]:
+                        out.append((p["anchor"], 0, order, mark, [p["start"]], data[p["start"] : p["end"]]))
+                        continue
+                    for start in range(p["start"], p["end"] - WINDOW + 1):
+                        window = data[start : start + WINDOW]
+                        windows.add(p["anchor"], zlib.crc32(window) % p["buckets"], order, mark, start, window)
+            out += windows.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(PLACED), PLACED)], schema=PLACED)
 
-
-def hot_spans(held: DataFrame) -> DataFrame:
-    """Step 3 for anchors with very many stretches: windows by a group-by of their bytes' hashes."""
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("order", "print", "start", "window_a", "window_b")}
-            for order, mark, start, context in zip(*(batch.column(c).to_pylist() for c in ("order", "print", "start", "context"))):
-                for k in range(len(context) - WINDOW + 1):
-                    h = hashlib.blake2b(context[k : k + WINDOW], digest_size=16).digest()
-                    for c, v in zip(out, (order, mark, start + k, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True))):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("order", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("window_a", pa.int64()), ("window_b", pa.int64())]))
-
-    windows = written(held.mapInArrow(explode, "order long, print long, start int, window_a long, window_b long"), "sub-windows")
-    first = windows.groupBy("window_a", "window_b").agg(F.min("order").alias("first"), F.max("order").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last")
-    return join_groups(windows, written(first.drop("last"), "sub-first"), ["window_a", "window_b"], "n").filter("order > first").select("order", "print", "start", (F.col("start") + WINDOW).alias("end"))
+    return both.mapInArrow(cut, "anchor long, bucket int, order long, print long, starts array<int>, context binary")
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(order, print, start, end) of spans to remove; they may overlap."""
-    shipped = keyed.select("order", "print", "text").mapInArrow(ship_stretches, "segment int, n int, docs binary, data binary")
+    total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    segments = max(LEAST_SEGMENTS, int(total) // SEGMENT_BYTES)
+    shipped = keyed.select("order", "print", "text").mapInArrow(ship_stretches(segments, CHUNK, FLUSH_STRETCHES, LOCAL_CONTENTS), "segment int, kind int, n int, docs binary, data binary")
     found = written(shipped.repartition("segment").sortWithinPartitions("segment").mapInArrow(settle_stretches, FOUND), "sub-found")
-    spans = found.filter("content = -1").select("order", "print", "start", "end")
-    mixed = found.filter("content <> -1")
-    sizes = written(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "sub-sizes")
-    held = written(contexts(mixed, keyed), "sub-contexts")
-    if sizes.filter(F.col("n") > MOST_STRETCHES).limit(1).count():
-        named = written(join_groups(held, sizes, ["anchor"], "n"), "sub-named")
-        spans = spans.unionByName(hot_spans(named.filter(F.col("n") > MOST_STRETCHES)))
-        held = named.filter(F.col("n") <= MOST_STRETCHES).drop("n")
-    edges = held.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(edge_spans, "order long, print long, start int, end int")
-    return spans.unionByName(edges)
+    placed = written(contexts(found.filter("mixed").drop("mixed"), keyed), "sub-contexts")
+    edges = placed.filter("bucket >= 0").repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket").mapInArrow(edge_spans, SPANS)
+    local = placed.filter("bucket < 0").select("order", "print", F.col("starts")[0].alias("start"), (F.col("starts")[0] + WINDOW).alias("end"))
+    return found.filter("NOT mixed").select("order", "print", "start", "end").unionByName(local).unionByName(edges)
 
 
 def merge_by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,10 +53,10 @@ def got_of(df):
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize(("chunk", "most"), [(2 << 20, 2_000), (128, 5)])
-def test_against_brute_force(make_docs, monkeypatch, chunk, most):
-    monkeypatch.setattr(sub, "CHUNK", chunk)
-    monkeypatch.setattr(sub, "MOST_STRETCHES", most)
+@pytest.mark.parametrize(("chunk", "flush", "local", "whole"), [(512 << 10, 400_000, 64, 1_000), (128, 50, 2, 5), (1_000, 200, 1, 0)])
+def test_against_brute_force(make_docs, monkeypatch, chunk, flush, local, whole):
+    for name, value in (("CHUNK", chunk), ("FLUSH_STRETCHES", flush), ("LOCAL_CONTENTS", local), ("WHOLE_STRETCHES", whole), ("BUCKET_STRETCHES", 3)):
+        monkeypatch.setattr(sub, name, value)
     rows = corpus(chunk)
     assert got_of(sub.removal_digests(make_docs(rows, ["order", "print", "start"]))) == sorted(brute(rows), key=str)
 
@@ -68,7 +68,7 @@ def test_longest_previous_factors_of_a_string():
         order = sorted(range(len(s)), key=lambda i: s[i:])
         lcp = lambda a, b: next((k for k in range(len(s)) if a + k >= len(s) or b + k >= len(s) or s[a + k] != s[b + k]), len(s))
         common = [0] + [lcp(order[k - 1], order[k]) for k in range(1, len(s))]
-        got = dict(zip(order, sub.longest_previous_factors(order, common)))
+        got = dict(zip(order, sub.longest_previous_factors(np.array(order), np.array(common)).tolist()))
         for i in range(len(s)):
             assert got[i] == max([lcp(i, j) for j in range(i)], default=0)
 
