@@ -58,3 +58,26 @@ def test_drop_duplicates_keeps_columns(make_docs):
     docs = make_docs([(1, "a"), (2, "A"), (3, "b")], ["digest"])
     out = exact_dedup.drop_duplicates(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2, 3]
+
+
+def test_other_texts_of_an_id_stay(make_docs):
+    docs = make_docs([(5, "A text"), (7, "A text"), (7, "B text"), (9, "B text"), (None, "c"), (None, "b TEXT")], ["gone_id", "gone", "digest", "mark", "keep_id"])
+    out = exact_dedup.drop_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in out.collect())) == [(0, "c"), (7, "A text"), (9, "B text")]
+
+
+def test_every_batch_meets_what_came_before(make_docs):
+    rows = [(i, f"text {i % 7}") for i in range(60)]
+    want = sorted(brute(rows))
+    for batches in (1, 2, 5):
+        assert as_rows(exact_dedup.assign_survivors(make_docs(rows), batches=batches)) == want
+
+
+def test_drop_against_an_index_that_another_session_made(spark, make_docs):
+    path = scratch_path(spark, "index")
+    first = exact_dedup.DigestIndex(spark, path, 4)
+    exact_dedup.assign_survivors(make_docs([(1, "a"), (2, "b")]), first)
+    first.close()
+    again = exact_dedup.DigestIndex(spark, path, 4)
+    assert [r.doc_id for r in exact_dedup.drop_duplicates(make_docs([(11, "A"), (12, "c"), (13, "c")]), again).collect()] == [13]
