@@ -136,7 +136,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The documents that labels (keys, ...; one row each) has, with its columns. Labels are broadcast if their counted size allows, else both sides are shuffled."""
+    """The documents that labels (keys, ...) has, with its columns. Labels are broadcast if their counted size allows, else both sides are shuffled."""
     small = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(labels) if small else labels, keys or ["doc_id"])
 

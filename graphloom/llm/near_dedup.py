@@ -24,7 +24,7 @@ fewer values with anyone has no list at all. (This is exact given the overlap.)
    others by their deltas, in blocks of bounded size, and a block returns a
    spanning forest of its links, never its pairs.
 3. Far members meet each other, and the near ones that missed the hub, by their
-   sketches, in blocks, each pair in the first list that both share. A block
+   sketches, in blocks, each pair with the first hub that both have met. A block
    returns hubs that cover its candidate pairs, with the members of each, and
    step 2 settles those.
 
@@ -110,8 +110,9 @@ def near_hub(stars: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     reach = max(0, 2 * similarity - 100)
     near = stars.filter(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * reach)
     sketches = reps.select("rep", "sketch")
-    hubs = near.groupBy("hub").agg(F.count(F.lit(1)).alias("pairs")).join(sketches.select(F.col("rep").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
-    both = join_groups(near.join(sketches, "rep"), written(hubs, "near-hubs"), ["hub"], "pairs")
+    counted = near.groupBy("hub").agg(F.count(F.lit(1)).alias("pairs"))
+    hubs = with_labels(sketches.select(F.col("rep").alias("hub"), F.col("sketch").alias("hub_sketch")), counted, ["hub"])
+    both = join_groups(with_labels(sketches, near, ["rep"]), written(hubs, "near-hubs"), ["hub"], "pairs")
     end = lambda c: F.when(F.size(c) >= SKETCH, F.element_at(c, -1)).otherwise(F.lit((1 << 63) - 1))
     both = both.withColumn("limit", F.least(end("sketch"), end("hub_sketch")))
     union = F.size(F.filter(F.array_union("sketch", "hub_sketch"), lambda x: x <= F.col("limit")))
@@ -130,7 +131,7 @@ def settled(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(hub, rep, hub_n, n, common, delta) of (hub, rep) pairs, from the full sets. A hub's members are dealt to portions, each of which reads the hub's text once."""
     pairs = written(pairs, "near-pairs")
     ends = pairs.select(F.col("hub").alias("rep")).union(pairs.select("rep")).distinct()
-    places = written(classes.select("rep", "doc_id", "print").join(ends, "rep"), "near-ends")
+    places = written(with_labels(classes.select("rep", "doc_id", "print"), ends, ["rep"]), "near-ends")
     texts = with_labels(marked_texts(docs), places, ["doc_id", "print"]).groupBy("rep").agg(F.first("text").alias("text"))
     texts = written(texts, "near-texts")
     counted = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("pairs"))
@@ -280,11 +281,11 @@ def candidates(sketches: list[np.ndarray], n: np.ndarray, similarity: int) -> np
 def covering_stars(similarity: int):
     """Rows of a block of sketches to stars: hubs with members, so that both ends of each candidate pair are members of one hub, or one is the hub."""
     def solve(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        side, rep, n, part, value = (np.asarray(t.column(c), dtype=np.int64) for c in ("side", "rep", "n", "part", "value"))
+        side, rep, n, part, hubs_of = (np.asarray(t.column(c), dtype=np.int64) for c in ("side", "rep", "n", "part", "hub"))
         near = candidates([np.asarray(x, np.int64) for x in t.column("sketch").to_pylist()], n, similarity)
-        names = t.column("listed").to_pylist()
+        names = t.column("hubs").to_pylist()
         listed, where = np.unique(np.concatenate([np.asarray(x, np.int64) for x in names]), return_inverse=True)
-        earlier = np.zeros((len(rep), int(np.searchsorted(listed, value[0]))), np.float32)
+        earlier = np.zeros((len(rep), int(np.searchsorted(listed, hubs_of[0]))), np.float32)
         owner = np.repeat(np.arange(len(rep)), [len(x) for x in names])
         before = where < earlier.shape[1]
         earlier[owner[before], where[before]] = 1
@@ -306,18 +307,17 @@ def covering_stars(similarity: int):
     return solve
 
 
-def far_stars(lists: DataFrame, heads: DataFrame, near: DataFrame, links: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
-    """(hub, rep) pairs that cover what step 1 left open in the lists: far members with each other and with the near ones that missed the hub."""
+def far_stars(stars: DataFrame, near: DataFrame, links: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
+    """(hub, rep) pairs that cover what step 2 left open among the members of each hub: far members with each other and with the near ones that missed the hub."""
     judged = near.select("hub", "rep", linked(similarity).alias("linked"))
-    rest = join_groups(lists.select("value", "rep", "n"), heads, ["value"], "members").filter("rep <> hub").select("value", "hub", "rep", "n")
-    rest = rest.join(judged, ["hub", "rep"], "left").filter("linked IS NULL OR NOT linked").select("value", "rep", "n", F.col("linked").isNull().alias("outside"))
+    rest = stars.join(judged, ["hub", "rep"], "left").filter("linked IS NULL OR NOT linked").select("hub", "rep", "n", F.col("linked").isNull().alias("outside"))
+    rest = written(rest, "near-rest")
     part = links.groupBy("rep").agg(F.min("hub").alias("part"))
     part = part.unionByName(links.select(F.col("hub").alias("rep"), F.col("hub").alias("part")).distinct()).groupBy("rep").agg(F.min("part").alias("part"))
-    rest = written(rest, "near-rest")
-    listed = rest.groupBy("rep").agg(F.collect_set("value").alias("listed"))
-    own = written(listed.join(part, "rep", "left").join(reps.select("rep", "sketch"), "rep").select("rep", "listed", F.coalesce("part", "rep").alias("part"), "sketch"), "near-own")
-    blocks = dealt_blocks(rest, "value", F.lit(SKETCH)).join(own, "rep").repartition("value", "block").sortWithinPartitions("value", "block")
-    return blocks.mapInArrow(by_block("value", covering_stars(similarity)), "hub long, rep long").filter("hub <> rep").distinct()
+    own = rest.groupBy("rep").agg(F.collect_set("hub").alias("hubs")).join(part, "rep", "left").select("rep", "hubs", F.coalesce("part", "rep").alias("part"))
+    own = written(with_labels(reps.select("rep", "sketch"), own, ["rep"]), "near-own")
+    blocks = dealt_blocks(rest, "hub", F.lit(SKETCH)).join(own, "rep").repartition("hub", "block").sortWithinPartitions("hub", "block")
+    return blocks.mapInArrow(by_block("hub", covering_stars(similarity)), "hub long, rep long").filter("hub <> rep").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def link_components(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     stars = written(join_groups(lists, heads, ["value"], "members").filter("rep <> hub").select("hub", "rep", "n", "hub_n").distinct(), "near-stars")
     near = settled(near_hub(stars, reps, similarity), docs, classes)
     links = links_of(near, similarity)
-    far = settled(far_stars(lists, heads, near, links, reps, similarity), docs, classes)
+    far = settled(far_stars(stars, near, links, reps, similarity), docs, classes)
     named = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("key_a").alias("rep"))
     twice = named.groupBy("doc_id").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").select("doc_id", "hub")
     same_id = named.join(twice, "doc_id").filter("rep <> hub").select("hub", "rep")
