@@ -22,17 +22,20 @@ def brute(text):
     weak += [("secret", *m.span()) for m in ASSIGN.finditer(text) if 6 <= len(m[2]) < 12]
     parts = sure + weak
     near = lambda s, kinds: any(o != s and o[0] in kinds and (s[1] - o[2] <= secrets.SCOPE and o[1] - s[2] <= secrets.SCOPE) for o in parts)
-    linked = []
-    for s in weak:
+    linked, links = [], []
+    said = lambda xs: ",".join(":".join(map(str, x)) for x in xs)
+    rank = secrets.KINDS.index
+    nearest = lambda s, kinds: min((max(0, o[1] - s[2], s[1] - o[2]), o[1], rank(o[0]), o[2], said([o])) for o in parts if o[0] in kinds)[-1]
+    for s in sorted(weak, key=lambda s: (s[1], rank(s[0]))):
         if any(b[1] < s[2] and s[1] < b[2] for b in sure):
             continue
         ids, keys = near(s, ("access", "identifier")), near(s, ("assign", "hex", "secret"))
         if {"secret": ids, "identifier": keys, "endpoint": ids and keys}[s[0]]:
             linked.append(s)
+            links += [f"{said([s])}>{nearest(s, kinds)}" for kinds, weak_kinds in ((secrets.IDS, ("secret", "endpoint")), (secrets.KEYS, ("identifier", "endpoint"))) if s[0] in weak_kinds]
     spans = sorted(sure + linked, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
-    said = lambda xs: ",".join(":".join(map(str, x)) for x in xs)
     n = [sum(s[0] == k for s in sure) for k in secrets.BASE]
-    return (*n, hashlib.sha256(said(sure).encode()).hexdigest(), said(spans), len(linked))
+    return (*n, hashlib.sha256(said(sure).encode()).hexdigest(), said(spans), len(linked), ",".join(links))
 
 
 def texts():
@@ -47,7 +50,7 @@ def test_against_brute_force(make_docs):
     assert len(got) == len(rows)
     for i, t in rows:
         r = got[i]
-        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans, r.n_linked) == brute(t), (t or "")[:300]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans, r.n_linked, r.links) == brute(t), (t or "")[:300]
 
 
 def test_weak_parts_need_company(make_docs):
@@ -74,3 +77,15 @@ def test_sql_says_the_same(make_docs):
     documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
     want = {r[0]: r[1:] for r in duckdb.sql(secrets.ORACLE_SQL).fetchall()}
     assert want == {i: brute(t) for i, t in rows}
+
+
+def test_long_tokens_count_whole(make_docs):
+    token = "abcDEF" * 14 + "0123"
+    got = secrets.find_secrets(make_docs([(1, "user: bob " + token)])).first()
+    assert got.spans == f"identifier:0:9,secret:10:{10 + len(token)}" and got.links == f"identifier:0:9>secret:10:{10 + len(token)},secret:10:{10 + len(token)}>identifier:0:9"
+
+
+def test_a_dense_document(make_docs):
+    text = "user=abc token=secr3t " * 3_000
+    got = secrets.find_secrets(make_docs([(1, text)])).first()
+    assert got.n_linked == 6_000
