@@ -47,7 +47,7 @@ REPEATS = 4
 
 def shape(word: str) -> str:
     word = DIGIT.sub("0", LETTER.sub(lambda m: "A" if m[0].isupper() else "a", word))
-    return RUN.sub(r"\1", word)[:32]
+    return RUN.sub(r"\1", word)
 
 
 def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
