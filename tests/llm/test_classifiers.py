@@ -39,27 +39,70 @@ def test_held_out_labels_are_not_read(spark, make_docs):
     assert a == b
 
 
-def test_counts_are_those_of_the_corpus(spark, make_docs):
-    texts = ["a b a b c", "a b", "", "C a, b"]
+def plain_ratios(texts, toxic):
+    """log P(w | u, toxic) - log P(w | u, other) by the docstring's formulas, over dictionaries."""
+    from collections import Counter
+    from math import log
+
+    words_of = lambda t: [w.lower().strip(toxicity.EDGES) for w in t.split()]
+    n = [Counter(), Counter()]
+    for t, c in zip(texts, toxic):
+        w = words_of(t)
+        n[c].update(zip(["<s>", *w], w))
+    both = n[0] + n[1]
+    tokens = lambda c, u: sum(v for (x, _), v in c.items() if x == u)
+    types = lambda c, u: sum(x == u for x, _ in c)
+    cont = lambda c, w: sum(y == w for _, y in c)
+    vocabulary = len({w for _, w in both})
+    base = lambda w: max(cont(both, w) - 0.75, 0) / len(both) + 0.75 * vocabulary / len(both) / (vocabulary + 1)
+    uni = lambda c, w: max(cont(n[c], w) - 1, 0) / len(n[c]) + len({y for _, y in n[c]}) / len(n[c]) * base(w)
+
+    def p(c, u, w):
+        s = tokens(both, u)
+        shared = (max(both[u, w] - 1, 0) + types(both, u) * base(w)) / s if s else base(w)
+        q, own = shared * uni(c, w) / base(w), tokens(n[c], u)
+        return (max(n[c][u, w] - 1, 0) + types(n[c], u) * q) / own if own else q
+
+    return lambda t: [log(p(1, u, w) / p(0, u, w)) for w, u in zip(words_of(t), ["<s>", *words_of(t)])]
+
+
+def test_log_ratios_against_plain_counts(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "b", "c,", "D", "e", "bad", "worse"][: 5 + 2 * (k % 2)]) for _ in range(rng.randint(0, 30))) for k in range(60)]
     rows = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts)], "text string, toxic int")
-    counts = toxicity.count_corpus(rows)
-    words, pairs = {0: 0, 1: 0}, {0: set(), 1: set()}
-    for k, t in enumerate(texts):
-        w = [x.strip(toxicity.EDGES) for x in t.lower().split()]
-        words[k % 2] += len(w)
-        pairs[k % 2] |= set(zip(["<s>", *w], w))
-    for c in (0, 1):
-        assert counts.context[c].sum() == words[c] and counts.continuations[c].sum() == len(pairs[c])
-    assert counts.continuations[2].sum() == len(pairs[0] | pairs[1])
+    want = plain_ratios(texts, [k % 2 for k in range(60)])
+    for portion in (2_000_000, 3):
+        monkeypatch.setattr(toxicity, "PORTION", portion)
+        monkeypatch.setattr(toxicity, "FLUSH_PAIRS", 10 * portion)
+        counts = toxicity.Counts.of(rows)
+        assert portion > 3 or len(counts.pairs) > 2
+        for t in ("a b c unknown bad", "worse bad e e", texts[1], "new words only"):
+            _, words, before = toxicity.word_hashes(pa.array([t]))
+            assert np.allclose(toxicity.log_ratios(counts, words, before), want(t), atol=1e-5)
 
 
 def test_packed_pairs_come_back():
     rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 1 << 38, 5000))
-    counts = rng.integers(0, 9, (len(keys), 2))
-    got = [toxicity._unpacked(p["n"], p["data"]) for p in toxicity._packed(keys, counts)]
-    k, c = toxicity._merged(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-    assert (k == keys).all() and (c == counts).all()
+    before, words = (rng.integers(0, 1 << 63, 5000).astype(np.uint64) for _ in range(2))
+    pairs = toxicity.merged(before, words, rng.integers(0, 9, (5000, 2)))
+    got = [toxicity.unpacked(p["n"], p["data"]) for p in toxicity.packed(*pairs, 16)]
+    again = toxicity.merged(*(np.concatenate(c) for c in zip(*got)))
+    assert all((x == y).all() for x, y in zip(again, pairs))
+
+
+def test_toxicity_of_long_repeated_and_tied_rows(spark, make_docs, monkeypatch):
+    rows, toxic = labelled(300, 4)
+    long_text = " ".join(VOCABULARY) + " "
+    rows += [(5000, long_text * 3_000 + "idiot scum moron"), (5001, "idiot"), (5001, "idiot"), (5002, "idiot")]
+    labels = spark.createDataFrame([(i, 1, t) for i, t in toxic.items()] * 2, "doc_id long, quality int, toxic int")
+    plain = toxicity.scored_with_folds(make_docs(rows), labels).collect()
+    same = [r.score for r in plain if r.doc_id in (5001, 5002)]
+    assert len(plain) == len(rows) and len(set(same)) == 1 and len(same) == 3
+    monkeypatch.setattr(toxicity, "PORTION", 100)  # more portions than a worker keeps
+    many = {r.doc_id: r.score for r in toxicity.scored_with_folds(make_docs(rows), labels).collect()}
+    assert all(abs(many[r.doc_id] - r.score) < 1e-6 for r in plain)
 
 
 def test_toxicity_without_labels(spark, make_docs):
