@@ -2,8 +2,8 @@
 
 Every token window of a document is hashed through fixed masks that ignore
 selected positions, and looked up among the benchmark's windows hashed through
-the same masks; a substituted token therefore spoils a seed only where a mask
-looks. Around every hit the two texts are laid side by side on the hit's
+the same masks (a broadcast hash join: documents never move); a substituted
+token therefore spoils a seed only where a mask looks. Around every hit the two texts are laid side by side on the hit's
 diagonal and the longest stretch with at least MIN_SHARE of its length equal is
 taken; no other such stretch has more equal tokens. With at least MIN_MATCHED
 equal tokens it is an overlap; so is one that covers a whole item shorter than
@@ -15,6 +15,9 @@ The benchmark is read in portions of at most PORTION_BYTES, whatever its size;
 each portion is one broadcast and one pass over the documents, without a
 shuffle.
 
+Where several diagonals of a document and an item have stretches with equally
+many tokens, the one with more equal tokens in all counts, then the first.
+
 Defined cases: null and empty texts overlap with nothing; items under MIN_ITEM
 tokens are never matched; repeated rows report alike, a null doc_id included;
 empty tables give empty results; extra columns are ignored.
@@ -39,6 +42,8 @@ MIN_MATCHED, MIN_SHARE, MIN_ITEM = 10, 0.75, 6
 MISMATCH = 2
 PORTION_BYTES = 32 << 20
 FILTER_BITS = 22
+#: Hits that are joined at a time, and cells of a comparison of diagonals with an item.
+HITS, CELLS = 500_000, 1_000_000
 EDGES = ".,;:!?|#$%&*\"'()[]{}<>«»„“”‘’…-_/\\=+~^`"
 ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * k & 0xFFFFFFFFFFFFFFFF) for k in range(16)]
 
@@ -104,35 +109,65 @@ class Benchmark:
         table[(seed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         return cls(np.asarray(item_ids, dtype=np.int64), offsets, hashes, seed[order], place[order], table)
 
-    def overlaps(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
-        """(row, item_id, first token, end token, matched) of every overlap: the longest one on each diagonal, for each row and item the one that matches most."""
-        offsets, hashes = tokens(texts)
+    def diagonals(self, offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, shift) of every diagonal with a hit, sorted. Hits are joined HITS at a time, and those of one diagonal count once, so frequent seeds on both sides stay bounded."""
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         item_row = np.repeat(np.arange(len(self.item_ids)), np.diff(self.offsets))
-        diagonals: set[tuple[int, int, int]] = set()
+        held = np.zeros((0, 3), np.int64)
         for number, mask in enumerate(MASKS):
             s = seeds(hashes, mask, number)
             at = np.flatnonzero(self.filter[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             at = at[row[at] == row[at + len(mask) - 1]]
-            low, high = np.searchsorted(self.seed, s[at], "left"), np.searchsorted(self.seed, s[at], "right")
-            n = high - low
-            hit = np.repeat(at, n)
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = self.place[np.repeat(low, n) + nth]
-            item = item_row[place]
-            shift = (hit - offsets[row[hit]]) - (place - self.offsets[item])
-            diagonals.update(zip(row[hit].tolist(), item.tolist(), shift.tolist()))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for r, item, shift in sorted(diagonals):
-            theirs = self.hashes[self.offsets[item] : self.offsets[item + 1]]
-            ours = hashes[offsets[r] : offsets[r + 1]]
-            begin = max(0, -shift)
-            end = min(len(theirs), len(ours) - shift)
-            b, e, matched = best_stretch(theirs[begin:end] == ours[begin + shift : end + shift])
-            enough = min(MIN_MATCHED, len(theirs))
-            if len(theirs) >= MIN_ITEM and matched >= enough and matched > best.get((r, item), (0, 0, 0))[2]:
-                best[r, item] = (begin + shift + b, begin + shift + e, matched)
-        return [(r, int(self.item_ids[item]), *where) for (r, item), where in best.items()]
+            low, n = np.searchsorted(self.seed, s[at], "left"), np.searchsorted(self.seed, s[at], "right")
+            n -= low
+            at, low, n = at[n > 0], low[n > 0], n[n > 0]
+            ends = np.cumsum(n)
+            for begin in range(0, int(ends[-1]) if len(ends) else 0, HITS):
+                hit = np.arange(begin, min(begin + HITS, int(ends[-1])))
+                of = np.searchsorted(ends, hit, "right")
+                place = self.place[low[of] + hit - (ends[of] - n[of])]
+                where = at[of]
+                found = np.stack([row[where], item_row[place], (where - offsets[row[where]]) - (place - self.offsets[item_row[place]])], axis=1)
+                held = np.concatenate([held, found])
+                held = held[np.lexsort(held.T[::-1])]
+                held = held[np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1)])]
+        return held[:, 0], held[:, 1], held[:, 2]
+
+    def overlaps(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
+        """(row, item_id, first token, end token, matched) for each row and item that overlap: the longest stretch of the diagonal where most tokens are equal in it."""
+        offsets, hashes = tokens(texts)
+        row, item, shift = self.diagonals(offsets, hashes)
+        out = []
+        begins = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(item) != 0)])) if len(row) else row
+        for first, last in zip(begins.tolist(), [*begins[1:].tolist(), len(row)]):
+            r, i = int(row[first]), int(item[first])
+            theirs = self.hashes[self.offsets[i] : self.offsets[i + 1]]
+            if len(theirs) >= MIN_ITEM:
+                best = best_overlap(hashes[offsets[r] : offsets[r + 1]], theirs, shift[first:last])
+                if best:
+                    out.append((r, int(self.item_ids[i]), *best))
+        return out
+
+
+def best_overlap(ours: np.ndarray, theirs: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int] | None:
+    """(first token, end token, matched) of the overlap with most equal tokens on any of the diagonals; a diagonal is looked at only while it has more equal tokens in all than the best stretch so far."""
+    k = np.arange(len(theirs))
+    step = max(1, CELLS // len(theirs))
+    total = np.zeros(len(shifts), np.int64)
+    for begin in range(0, len(shifts), step):
+        at = shifts[begin : begin + step, None] + k[None, :]
+        inside = (at >= 0) & (at < len(ours))
+        total[begin : begin + step] = ((ours[np.where(inside, at, 0)] == theirs[None, :]) & inside).sum(axis=1)
+    best, least = None, min(MIN_MATCHED, len(theirs))
+    for d in np.argsort(-total, kind="stable").tolist():
+        if total[d] < least:
+            break
+        shift = int(shifts[d])
+        begin, end = max(0, -shift), min(len(theirs), len(ours) - shift)
+        b, e, matched = best_stretch(theirs[begin:end] == ours[begin + shift : end + shift])
+        if matched >= least:
+            best, least = (begin + shift + b, begin + shift + e, matched), matched + 1
+    return best
 
 
 SCHEMA = "doc_id long, item_id long, first_token int, end_token int, matched int, item_share double"
