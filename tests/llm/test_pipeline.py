@@ -53,3 +53,28 @@ def test_all_but_the_last_return_documents(spark, tables):
     assert len(corpus_pipeline.STAGES) == 5
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, where).columns == docs.columns
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_on_defined_cases(spark, make_docs, tables, stage):
+    """Empty tables; null ids and texts; repeated rows; ties; very long texts; columns named like those that stages work with."""
+    _, _, where = tables
+    columns = ["gone_id", "rep", "hub", "digest", "keep_id", "kept", "grade", "item_id", "row_key", "text_sha256"]
+    empty = make_docs([], columns)
+    assert stage[1](spark, empty, where).columns == empty.columns and stage[1](spark, empty, where).count() == 0
+    words = "bant ber bish boly dant der dish doly fant fer fish foly gant ger gish goly kant ker kish koly".split()
+    text = lambda n, k: " ".join(words[(i * i + k * i + i // 7) % 20] for i in range(n)) + "."
+    rows = [(1, text(60, 3)), (1, text(60, 3)), (2, text(80, 5)), (None, text(70, 11)), (None, None), (4, None), (5, ""), (6, text(60_000, 13)), (7, text(60, 17))]
+    docs = make_docs(rows, columns)
+    out = stage[1](spark, docs, where)
+    assert out.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert set(left) <= set(rows) and left.count((1, rows[0][1])) in (0, 2)
+
+
+def test_encoding_stage_on_defined_cases(spark, make_docs, tables):
+    _, _, where = tables
+    rows = [(1, "a b"), (1, "a b"), (None, "c"), (None, None), (4, "long text " * 20_000)]
+    out = corpus_pipeline.STAGES[-1][1](spark, make_docs(rows, ["ids", "row_key", "parts"]), where).collect()
+    assert sorted((r.doc_id or 0, r.decoded_sha256) for r in out) == sorted((i or 0, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, make_docs([]), where).count() == 0
