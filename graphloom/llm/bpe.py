@@ -117,10 +117,15 @@ def _long_ids(long_docs: DataFrame, ranks_path: str, chunk_chars: int, overlap_c
     step = chunk_chars - overlap_chars
     keyed = long_docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text")
     keyed = written(keyed, "bpe-long")  # the keys stay what they are if a stage runs again
-    n = F.length("text")
-    begins = F.sequence(F.lit(0), F.greatest(n - overlap_chars - 1, F.lit(0)), F.lit(step))
-    chunks = keyed.select("row_key", n.alias("chars"), F.explode(F.transform(begins, lambda b: F.struct(b.alias("begin"), F.substring(F.col("text"), b + 1, F.lit(chunk_chars)).alias("chunk")))).alias("c"))
-    chunks = chunks.select("row_key", "chars", "c.begin", "c.chunk").repartition("row_key", "begin")
+
+    def cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("row_key", pa.int64()), ("chars", pa.int32()), ("begin", pa.int32()), ("chunk", pa.string())])
+        for part in text_parts(batches):
+            for key, text in zip(part.column("row_key").to_pylist(), part.column("text").to_pylist()):
+                begins = range(0, max(len(text) - overlap_chars, 1), step)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(begins)), pa.array([len(text)] * len(begins), pa.int32()), pa.array(list(begins), pa.int32()), pa.array([text[b : b + chunk_chars] for b in begins])], schema=schema)
+
+    chunks = keyed.select("row_key", "text").mapInArrow(cut_chunks, "row_key long, chars int, begin int, chunk string").repartition("row_key", "begin")
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +140,18 @@ def _long_ids(long_docs: DataFrame, ranks_path: str, chunk_chars: int, overlap_c
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row_key", pa.int64()), ("begin", pa.int32()), ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32()))]))
 
     seams = chunks.mapInArrow(pretokenise, "row_key long, begin int, head array<int>, tail array<int>")
-    stitch = F.udf(lambda parts: piece_starts([(p["begin"], p["head"], p["tail"]) for p in sorted(parts, key=lambda p: p["begin"])]), "array<int>")
-    starts = seams.groupBy("row_key").agg(F.collect_list(F.struct("begin", "head", "tail")).alias("parts")).select("row_key", stitch("parts").alias("starts"))
-    cut = keyed.join(starts, "row_key")
-    size = F.size("starts")
-    piece = F.transform("starts", lambda s, i: F.struct(i.alias("place"), F.substring(F.col("text"), s + 1, F.when(i + 1 < size, F.element_at("starts", F.least(i + 2, size)) - s).otherwise(n)).alias("text")))
-    pieces = cut.select("row_key", "doc_id", F.explode(piece).alias("p")).select("row_key", "doc_id", "p.place", "p.text").repartition("row_key", "place")
+    stitched = seams.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("begin", "head", "tail"))).alias("parts"))
+
+    def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("text", pa.string())])
+        for part in text_parts(batches):
+            for key, doc, text, parts in zip(*(part.column(c).to_pylist() for c in ("row_key", "doc_id", "text", "parts"))):
+                starts = piece_starts([(p["begin"], p["head"], p["tail"]) for p in parts])
+                pieces = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(pieces), pa.int64()), pa.array([doc] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], schema=schema)
+
+    cut = keyed.join(stitched, "row_key").select("row_key", "doc_id", "text", "parts")
+    pieces = cut.mapInArrow(cut_pieces, "row_key long, doc_id long, place int, text string").repartition("row_key", "place")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_parts(batches):

@@ -46,3 +46,16 @@ def test_long_texts_are_cut_in_several_pieces():
         safe = bpe.safe_boundaries(c, b, b + len(c) >= len(text), b, b + len(c))
         seams.append((b, [x for x in safe if b < x < b + 64], [x for x in safe if x > b + 192]))
     assert len(bpe.piece_starts(seams)) == len(chunks)
+
+
+def test_texts_beyond_the_default_chunk(make_docs):
+    rng = random.Random(6)
+    words = ["the", "onre", "ándo", "12", "can't", "\n\n", "中文", "  "]
+    rows = [(1, " ".join(rng.choice(words) for _ in range(30_000))), (2, "x" * 80_000), (2, "x" * 80_000), (3, " " * 70_000 + "y"), (None, "a1 " * 40_000)]
+    encoding = bpe.codec(bpe.default_ranks_path())[0]
+    got = sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip_digests(make_docs(rows)).collect())
+    want = []
+    for _, t in rows:
+        ids = encoding.encode_ordinary(t)
+        want.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert got == sorted(want)
