@@ -28,8 +28,35 @@ def file_graph(pairs: DataFrame) -> DataFrame:
     return pairs.filter("source_file <> target_file").groupBy(F.least("source_file", "target_file").alias("a"), F.greatest("source_file", "target_file").alias("b")).agg(F.sum("weight").cast("long").alias("weight"))
 
 
-def louvain_communities(links: list[tuple[str, str, float]], files: list[str], passes: int = 100) -> dict[str, int]:
-    """Deterministic modularity clustering: files in order, moves on a strictly positive gain, levels until none moves. Labels number communities by their first file."""
+def _moved(near: list[dict[int, float]], degree: list[float], total: float, passes: int) -> list[int]:
+    """One level: each vertex in order joins the neighbouring community with the greatest gain over staying, the lowest of equal ones, until a pass moves none."""
+    home, mass = list(range(len(near))), list(degree)
+    for _ in range(passes):
+        changed = False
+        for v, links in enumerate(near):
+            around: dict[int, float] = defaultdict(float)
+            for u, w in links.items():
+                around[home[u]] += w
+            old, pull = home[v], degree[v] / total
+            mass[old] -= degree[v]
+            stay = mass[old] * pull - around.get(old, 0.0)
+            gains = [(stay + around[c] - mass[c] * pull, -c) for c in around]
+            gain, place = max(gains, default=(0.0, 0))
+            new = -place if gain > 0 else old
+            mass[new] += degree[v]
+            if new != old:
+                home[v], changed = new, True
+        if not changed:
+            break
+    return home
+
+
+def louvain_communities(links: list[tuple[str, str, float]], files: list[str], total: float | None = None, passes: int = 100) -> dict[str, int]:
+    """Deterministic modularity clustering: files in order, moves on a strictly positive gain, levels until none moves. Labels number communities by their first file.
+
+    total: twice the weight of the whole graph, where links are a part of one
+    (modularity compares with the whole); by default that of the links.
+    """
     names = sorted(files)
     index = {f: i for i, f in enumerate(names)}
     near: list[dict[int, float]] = [defaultdict(float) for _ in names]
@@ -37,53 +64,36 @@ def louvain_communities(links: list[tuple[str, str, float]], files: list[str], p
         if a != b:
             near[index[a]][index[b]] += w
             near[index[b]][index[a]] += w
-    member, own = list(range(len(names))), [0.0] * len(names)
-    while True:
-        degree = [sum(x.values()) + own[i] for i, x in enumerate(near)]
-        total = sum(degree)
-        home, mass = list(range(len(near))), list(degree)
-        moved_ever = False
-        for _ in range(passes if total else 0):
-            moved = False
-            for i in range(len(near)):
-                around: dict[int, float] = defaultdict(float)
-                for j, w in near[i].items():
-                    around[home[j]] += w
-                here = home[i]
-                mass[here] -= degree[i]
-                gain = lambda c, i=i, around=around: around.get(c, 0.0) - mass[c] * degree[i] / total
-                best, best_gain = here, gain(here)
-                for c in sorted(around):
-                    if gain(c) > best_gain + 1e-12:
-                        best, best_gain = c, gain(c)
-                mass[best] += degree[i]
-                if best != here:
-                    home[i], moved, moved_ever = best, True, True
-            if not moved:
-                break
-        if not moved_ever:
+    inside = [0.0] * len(names)  # twice the weight within a vertex
+    total = sum(sum(x.values()) for x in near) if total is None else total
+    member = list(range(len(names)))
+    while total:
+        home = _moved(near, [own + sum(x.values()) for own, x in zip(inside, near)], total, passes)
+        number = {c: k for k, c in enumerate(sorted(set(home)))}
+        if len(number) == len(near):
             break
-        number = {c: k for k, c in enumerate(dict.fromkeys(home))}
-        member = [number[home[m]] for m in member]
+        home = [number[c] for c in home]
+        member = [home[m] for m in member]
         merged: list[dict[int, float]] = [defaultdict(float) for _ in number]
-        inside = [0.0] * len(number)
-        for i, x in enumerate(near):
-            inside[number[home[i]]] += own[i]
-            for j, w in x.items():
-                a, b = number[home[i]], number[home[j]]
-                if a == b:
-                    inside[a] += w
+        within = [0.0] * len(number)
+        for v, x in enumerate(near):
+            within[home[v]] += inside[v]
+            for u, w in x.items():
+                if home[u] == home[v]:
+                    within[home[v]] += w
                 else:
-                    merged[a][b] += w
-        near, own = merged, inside
+                    merged[home[v]][home[u]] += w
+        near, inside = merged, within
     order = {c: k for k, c in enumerate(dict.fromkeys(member))}
     return {f: order[member[i]] for i, f in enumerate(names)}
 
 
 def louvain(graph: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, community). The method is sequential, so each connected part of the file graph is one group; parts run in parallel."""
+    """(path, community). The method is sequential within a connected part of the file graph, and parts touch each other only through the graph's total weight, so each part is one group and the result is that of the whole graph."""
     from graphloom.operators.traversal import materialise
 
+    graph = materialise(graph, "parts")
+    total = float(graph.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]) * 2
     labels = materialise(files.select("path").withColumn("part", F.col("path")), "parts")
     both = materialise(graph.select("a", "b").union(graph.select("b", "a")), "parts")
     while True:
@@ -98,7 +108,7 @@ def louvain(graph: DataFrame, files: DataFrame) -> DataFrame:
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         links = pdf[pdf["b"].notna()].sort_values(["a", "b"])
-        found = louvain_communities(list(links[["a", "b", "weight"]].itertuples(index=False, name=None)), sorted(set(pdf["a"]) | set(links["b"])))
+        found = louvain_communities(list(links[["a", "b", "weight"]].itertuples(index=False, name=None)), sorted(set(pdf["a"]) | set(links["b"])), total)
         part = pdf["part"].iloc[0]
         return pd.DataFrame({"path": list(found), "community": [f"{part}#{c}" for c in found.values()]})
 

@@ -9,55 +9,116 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.columns import is_distinctive, is_test_file, kind_bonus, path_relevance, search_terms
+from graphloom.functions.columns import is_distinctive, is_test_file, kind_bonus, path_relevance
 from graphloom.operators.search import bm25
 from graphloom.operators.traversal import adjacency, reach
 from graphloom.session import materialise
 
-# Stopwords of questions, and suffixes of stems.
-STOPWORDS = frozenset("the and for with from that this are was were how what where when why who which does did can could should would into about all any get use used using find show list work works code".split())
-STEMS = (("ies", "y"), ("ing", ""), ("tion", ""), ("ment", ""), ("es", ""), ("ed", ""), ("er", ""), ("s", ""))
+# Words that questions hold and that name nothing, by the step that drops them.
+STOPWORDS = frozenset(
+    "the a an and or but in on at to for of with by from is it that this are was be has had have do does did will would could should may might can shall not no all each every how what where when who which why i me my we our you your he she they show give tell been done made used using work works found also into then than just more some such over only out its so up as if look need needs want happen happens affect affected break breaks failing implemented implement code file files function method class type fix bug called".split()
+)
+COMMON_WORDS = frozenset(
+    "the and for with from this that have been will would could should does done make made use used using work works find found show call called calling get set add all any how what when where which who why not but are was were has had its can did may also into than then them each other some such only same about after before between through during without again further once here there both just more most very being having doing system need needs want wants like look change changes changed changing "
+    "layer handle handles handling incoming outgoing data flow flows level levels request requests response responses implement implements implementation interface interfaces class classes method methods trigger triggers affected affect affects else code failing failed silently decide decides return returns returned take takes taken check checks checked create creates created read reads write writes written start starts stop stops run runs running".split()
+)
+PROSE_WORDS = frozenset(
+    "about above actually after again against almost along also always another anything around away back because been before behind being below best better between both cannot come could does doing done down each either else even ever every everything fine first from getting give goes going gone good great have having help here inside instead into just keep know last least less like likely little look looking made make making many maybe mind more most much must need needs never next nice none nothing okay only onto other otherwise over please pretty probably quite rather really right same seem seems should show since some someone something somewhere soon still such sure take than thank thanks that their them then there these they thing things think this those though tried tries trying under until upon very want wants well went were what when which while will wish with within without would wrong your yours "
+    "change changes check class classes code detail details directory error errors example examples file files folder function functions issue issues line lines method methods name names problem problems project question questions rename test tests type types update value values warning warnings work working write writing".split()
+)
 #: Output budgets by the number of files of a project: (files, calls).
 BUDGETS = ((150, 1), (500, 2), (5_000, 3), (15_000, 4))
 
 
 def stems(term: str) -> list[str]:
-    """Shorter forms of a term that leave at least three characters."""
-    return [term[: -len(s)] + put for s, put in STEMS if term.endswith(s) and len(term) - len(s) >= 3]
+    """Forms of a term without its English suffix, three characters or more; they serve as prefixes, so they need not be words."""
+    t, out = term.lower(), []
+
+    def cut(n: int, *more: str) -> None:
+        out.extend([t[: len(t) - n], *(t[: len(t) - n] + m for m in more)])
+
+    def single(n: int) -> None:
+        if t[-n - 1 : -n] == t[-n - 2 : -n - 1]:
+            out.append(t[: len(t) - n - 1])
+
+    if len(t) > 5 and t.endswith("ing"):
+        cut(3, "e")
+        single(3)
+    if len(t) > 5 and t.endswith(("tion", "sion")):
+        cut(3)
+    if len(t) > 6 and t.endswith("ment"):
+        cut(4)
+    if len(t) > 4:
+        if t.endswith("ies"):
+            out.append(t[:-3] + "y")
+        elif t.endswith("es"):
+            cut(2)
+        elif t.endswith("s") and not t.endswith("ss"):
+            cut(1)
+        if t.endswith("ed") and not t.endswith("eed"):
+            cut(1)
+            cut(2)
+            if len(t) > 5 and t.endswith("ied"):
+                out.append(t[:-3] + "y")
+        if t.endswith("er"):
+            cut(2, "e")
+            single(2)
+    return [v for v in dict.fromkeys(out) if len(v) >= 3 and v != t]
 
 
 def terms_of(question: str, with_stems: bool = True) -> list[str]:
-    words = [t for t in search_terms(question) if t not in STOPWORDS]
-    return list(dict.fromkeys(words + [s for t in words for s in stems(t)] if with_stems else words))
+    """Search terms of a question: compounds with a camel boundary or an underscore, then the parts of all identifiers that are no stop words, then stems; in lower case."""
+    compounds, parts = [], []
+    for dotted in re.findall(r"[A-Za-z0-9_]+", question):
+        for piece in filter(None, dotted.split("_")):
+            spaced = re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", piece)
+            if " " in spaced and len(piece) >= 3:
+                compounds.append(piece)
+            parts += spaced.split()
+        if "_" in dotted and len(dotted) >= 3:
+            compounds.append(dotted)
+    words = list(dict.fromkeys([c.lower() for c in compounds] + [p.lower() for p in parts if len(p) >= 3 and p.lower() not in STOPWORDS]))
+    more = [v for t in words for v in stems(t) if v not in STOPWORDS] if with_stems else []
+    return list(dict.fromkeys(words + more))
+
+
+#: Forms of identifiers in prose: camel case or a capitalised word, snake case, screaming snake case, acronyms, dotted names, plain lower-case words.
+SYMBOL_FORMS = tuple(re.compile(p, flags) for p, flags in (
+    (r"\b(?:[A-Z][a-z]+(?:[A-Z][a-z]*)*|[a-z]+(?:[A-Z][a-z]*)+)\b", 0), (r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b", re.I), (r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b", 0),
+    (r"\b[A-Z]{2,}\b", 0), (r"\b[a-zA-Z][a-zA-Z0-9]*(?:\.[a-zA-Z][a-zA-Z0-9]*)+\b", 0), (r"\b[a-z][a-z0-9]{2,}\b", 0),
+))
 
 
 def symbols_of(question: str) -> list[str]:
-    """Words of a question that look like identifiers: dotted, snake, camel or capitalised ones, and those in quotes or before a parenthesis."""
-    found = re.findall(r"`([^`]+)`|\b([A-Za-z_]\w*(?:(?:\.|::)[A-Za-z_]\w*)+)\b|\b([a-z]+(?:_[a-z0-9]+)+)\b|\b([a-z]+(?:[A-Z]\w*)+|(?:[A-Z][a-z0-9]+){2,})\b|\b([A-Za-z_]\w*)\(", question)
-    words = [w for groups in found for w in groups if w and w.lower() not in STOPWORDS]
-    return list(dict.fromkeys(words))
+    """Words of a question that may name a symbol, form by form; dotted names also by their parts; no common words."""
+    found = []
+    for form in SYMBOL_FORMS:
+        for word in form.findall(question):
+            found += [word, *(p for p in word.split(".") if "." in word and len(p) >= 2)]
+    return [w for w in dict.fromkeys(found) if len(w) >= 2 and w.lower() not in COMMON_WORDS]
 
 
 def plain_word(word: str) -> str:
     """Lower case, without accents."""
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.category(c).startswith("M")).lower()
 
 
 def prose_words(question: str, most: int = 16) -> list[str]:
-    words = [plain_word(w) for w in re.findall(r"[^\W\d_]+", question)]
-    return list(dict.fromkeys(w for w in words if 4 <= len(w) <= 24 and w not in STOPWORDS))[:most]
+    """Words of 4 to 24 characters that may name a part of an identifier, in order, without accents; no numbers and no filler."""
+    runs = [r for r in re.findall(r"[^\W_]+", unicodedata.normalize("NFC", question)) if len(r) <= 24]
+    words = (plain_word(r) for r in runs)
+    return list(dict.fromkeys(w for w in words if 4 <= len(w) <= 24 and not w.isnumeric() and w not in PROSE_WORDS))[:most]
 
 
 def variants(word: str) -> list[str]:
-    """A word, its singular and its plural."""
-    out = [word]
-    if word.endswith("ies"):
-        out.append(word[:-3] + "y")
-    elif word.endswith("s") and not word.endswith("ss"):
-        out.append(word[:-1])
+    """A word and what it may be the plural of. -es goes whole after x, sh, ss and zz; after ch, s, z and o either -es or -s may be the ending; other words lose an s, but -ss is no plural. What is left has four characters."""
+    if re.search("(?:x|sh|ss|zz)es$", word):
+        cuts = (2,)
+    elif re.search("(?:ch|s|z|o)es$", word):
+        cuts = (2, 1)
     else:
-        out += [word + "s"] + ([word[:-1] + "ies"] if word.endswith("y") else [])
-    return out
+        cuts = (1,) if re.search("(?<!s)s$", word) else ()
+    return [word, *(word[:-n] for n in cuts if len(word) - n >= 4)]
 
 
 def budget(files: int) -> int:

@@ -1,8 +1,10 @@
 """Graph traversal by frontier joins.
 
-A level joins the frontier with the edges of one direction, drops what has
-been seen by an anti-join, and is written to the shared folder, so neither the
-plan nor the visited set grows on the driver. Depths are true distances.
+The edges of one direction are written once, bucketed by the end that a walk
+comes from. A level joins the frontier with them (a small frontier is broadcast,
+a large one is shuffled alone), drops what has been seen by an anti-join, and is
+written to the shared folder, so neither the plan nor the visited set grows on
+the driver. Depths are true distances.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.columns import CALL_KINDS, CONTAINER_KINDS, HIERARCHY_KINDS, RANK_KINDS, edge_rank
-from graphloom.session import materialise
+from graphloom.session import bucketed, materialise
 
 UNBOUNDED = 1 << 20
 
@@ -31,7 +33,8 @@ def reach(edges: DataFrame, roots: DataFrame, direction: str = "outgoing", kinds
 
     enter: the ids that may be entered; stop: ids that are kept but not expanded.
     """
-    steps = adjacency(edges, direction, kinds)
+    steps = bucketed(adjacency(edges, direction, kinds).select("at", "to").distinct(), "at", "steps")
+    enter = materialise(enter.select("id"), "enter") if enter is not None and max_depth > 1 else enter
     seen = materialise(roots.select("id").distinct().withColumn("depth", F.lit(0)), "reach")
     frontier, depth = seen, 0
     while depth < max_depth:
@@ -128,7 +131,8 @@ def impact(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int
     """(id, depth): what a change reaches. Incoming edges other than contains cost one; children of containers cost nothing, and are taken before each step; nodes at max_depth are not expanded."""
     containers = nodes.filter(F.col("kind").isin(*CONTAINER_KINDS)).select("id")
     down = edges.filter("kind = 'contains'").join(containers.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("source").alias("at"), F.col("target").alias("to"))
-    up = edges.filter("kind <> 'contains'").select(F.col("target").alias("at"), F.col("source").alias("to"))
+    down = bucketed(down.distinct(), "at", "down")
+    up = bucketed(edges.filter("kind <> 'contains'").select(F.col("target").alias("at"), F.col("source").alias("to")).distinct(), "at", "up")
     seen = materialise(roots.select("id").distinct().withColumn("depth", F.lit(0)), "impact")
     frontier = seen
     for depth in range(max_depth):
@@ -150,7 +154,7 @@ def impact(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int
 def shortest_path(edges: DataFrame, start: str, goal: str, kinds: tuple[str, ...] | None = None, max_depth: int = 64) -> DataFrame:
     """(step, id, edge_id) of a shortest outgoing path: each node is reached by the lowest edge id among its shortest ways. No rows if there is none."""
     spark = edges.sparkSession
-    steps = adjacency(edges, "outgoing", kinds)
+    steps = bucketed(adjacency(edges, "outgoing", kinds).select("at", "to", "edge_id"), "at", "steps")
     levels = [materialise(spark.createDataFrame([(start, None)], "id string, edge_id long"), "path")]
     seen, found = levels[0].select("id"), start == goal
     while not found and len(levels) <= max_depth:
@@ -168,13 +172,13 @@ def shortest_path(edges: DataFrame, start: str, goal: str, kinds: tuple[str, ...
         via = levels[step].filter(F.col("id") == at).first()["edge_id"]
         rows.append((step, at, via))
         if via is not None:
-            at = edges.filter(F.col("edge_id") == via).first()["source"]
+            at = steps.filter(F.col("edge_id") == via).first()["at"]
     return spark.createDataFrame(rows, schema)
 
 
 def ancestors(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, ancestor, distance): containers of each root, nearest first; the first incoming contains edge counts, cycles end."""
-    parent = edges.filter("kind = 'contains'").groupBy(F.col("target").alias("at")).agg(F.min_by("source", "edge_id").alias("up"))
+    parent = bucketed(edges.filter("kind = 'contains'").groupBy(F.col("target").alias("at")).agg(F.min_by("source", "edge_id").alias("up")), "at", "parent")
     level = materialise(roots.select("id", F.col("id").alias("at")).distinct(), "ancestors")
     out, distance = None, 0
     while True:

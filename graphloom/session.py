@@ -29,3 +29,12 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str = "step") -> DataFrame:
+    """The rows of df as a table in the shared folder, bucketed and sorted by key: a join by key reads it without a shuffle, however often."""
+    spark = df.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
