@@ -106,7 +106,9 @@ def assign_survivors(docs: DataFrame, index: DigestIndex | None = None, batches:
     own = index is None
     index = index or DigestIndex(spark, scratch_path(spark, "digest-index"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     for batch in newest_first(rows, batches):
-        index.append(digest_groups(batch))
+        new = written(digest_groups(batch), "digest-new")  # written, because the optimiser would take the anti-join below the aggregate and shuffle every copy
+        index.append(new)
+        discard(new)
     groups = written(index.kept(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))), "digest-groups")
     if own:
         discard(index.known())
