@@ -287,11 +287,13 @@ def log_ratios(counts: Counts, words: np.ndarray, before: np.ndarray) -> np.ndar
         hit, found = looked_up(table, distinct)
         b[hit], g[hit] = found[:, 0], found[:, 1]
     out = b[where[len(words) :]] + g[where[: len(words)]]
-    keys = pair_keys(before, words)
+    keys, where = np.unique(pair_keys(before, words), return_inverse=True)  # sorted, so that a look-up walks through a table
+    own = np.full(len(keys), np.nan)
     for table in counts.portions(PAIR):
         hit, found = looked_up(table, keys)
-        out[hit] = found[:, 0]
-    return out
+        own[hit] = found[:, 0]
+    own = own[where]
+    return np.where(np.isnan(own), out, own)
 
 
 def features(ratio: np.ndarray, offsets: np.ndarray) -> np.ndarray:
