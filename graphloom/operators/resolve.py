@@ -40,9 +40,10 @@ def candidate_score() -> Column:
     return F.when(same_file, 100).otherwise(0) + proximity(F.col("file_path"), F.col("target_file")) + F.when(F.col("target_language") == F.col("language"), 50).otherwise(-80) + kind + F.when(F.col("target_exported"), 10).otherwise(0) + near
 
 
-def by_exact_name(refs: DataFrame, nodes: DataFrame, most: int = AMBIGUOUS) -> DataFrame:
+def by_exact_name(refs: DataFrame, nodes: DataFrame, most: int = AMBIGUOUS, lexical: bool = True) -> DataFrame:
     """(ref_id, target, confidence, resolved_by): one candidate .9 (.5 in another language); of several the best, .7 if near, else .4; none of more than `most`.
 
+    lexical: functions within functions count only where scope reaches them.
     Candidates are counted as the language gate lets them through. Names with
     too many for a reference's family are dropped before the join, which is by
     name and family, so it makes no pair that the gate or the ceiling drops.
@@ -53,6 +54,10 @@ def by_exact_name(refs: DataFrame, nodes: DataFrame, most: int = AMBIGUOUS) -> D
     few = counted.select(F.col("target_name").alias("reference_name"), "named", F.explode("passing").alias("family")).groupBy("reference_name", "family").agg(F.sum("named").alias("named")).filter(F.col("named") <= most)
     gated = refs.withColumn("family", known("language")).join(few, ["reference_name", "family"], "left_semi").withColumn("target_family", F.explode(gate_families(F.col("language"))))
     joined = gated.join(pool, (F.col("reference_name") == F.col("target_name")) & (gated["target_family"] == pool["target_family"]))
+    if lexical:
+        from graphloom.operators.receivers import lexically_reachable
+
+        joined = lexically_reachable(joined, nodes)
     per_ref = Window.partitionBy("ref_id")
     same = F.col("target_language") == F.col("language")
     joined = joined.withColumn("n", F.count(F.lit(1)).over(per_ref)).withColumn("any_same", F.max(same).over(per_ref)).filter(F.col("n") <= most)
@@ -97,11 +102,18 @@ def by_lower_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return kept.select("ref_id", "target", F.when(same, 0.5).otherwise(0.3).alias("confidence"), F.lit("fuzzy").alias("resolved_by"))
 
 
-def resolve(refs: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """The best answer of all strategies: by confidence, then by the order of strategies."""
-    strategies = [by_file_path(refs.filter(F.col("reference_name").contains("/")), files), by_qualified_name(refs, nodes), by_exact_name(refs, nodes), by_lower_name(refs, nodes)]
+def resolve(refs: DataFrame, nodes: DataFrame, files: DataFrame, more: list[DataFrame] = ()) -> DataFrame:
+    """The best answer of all strategies: by confidence, then by the order of strategies. more: answers (ref_id, target, confidence, resolved_by) of imports, receivers or frameworks, which come first."""
+    strategies = [*more, by_file_path(refs.filter(F.col("reference_name").contains("/")), files), by_qualified_name(refs, nodes), by_exact_name(refs, nodes), by_lower_name(refs, nodes)]
     found = reduce(DataFrame.unionByName, [s.withColumn("place", F.lit(k)) for k, s in enumerate(strategies)])
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("confidence"), "place"))).filter("nth = 1").drop("nth", "place")
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("confidence"), "place", "target"))).filter("nth = 1").drop("nth", "place")
+
+
+def settle(refs: DataFrame, nodes: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges of resolved references, and the references left, with status failed: one pass over all that are pending."""
+    edges = make_edges(resolved, refs, nodes)
+    left = refs.join(edges.select("ref_id"), "ref_id", "left_anti").withColumn("status", F.lit("failed"))
+    return edges, left
 
 
 def make_edges(resolved: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -110,6 +110,15 @@ def fuzzy_search(nodes: DataFrame, text: str, limit: int = 50, per_name: int = 5
     return ranked.select("id", "name", "distance", (1.0 / (1 + F.col("distance"))).alias("score")).orderBy("distance", "name", "id").limit(limit)
 
 
+def with_exact_names(found: DataFrame, pool: DataFrame, text: str, most: int = 20) -> DataFrame:
+    """found (id, score) and, with the best of its scores, the first nodes that each word of the text names."""
+    best = found.agg(F.max("score")).first()[0]
+    words = [t.lower() for t in text.split()]
+    first = Window.partitionBy(F.lower("name")).orderBy("id")
+    exact = pool.filter(F.lower("name").isin(*words)).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= most).select("id", F.lit(float(best or 0.0)).alias("score"))
+    return found.unionByName(exact.join(found, "id", "left_anti"))
+
+
 def search_nodes(nodes: DataFrame, raw: str, limit: int = 100) -> DataFrame:
     """The ranked search: full text, else substring, else fuzzy; exact names join with the best score; rescored by kind, path and name; trimmed, then gated."""
     q = parse_query(raw)
@@ -127,10 +136,7 @@ def search_nodes(nodes: DataFrame, raw: str, limit: int = 100) -> DataFrame:
         found = like_search(pool, q.text, fetch).select("id", "score") if len(q.text) >= 2 else full
         if len(q.text) >= 3 and not found.limit(1).count():
             found = fuzzy_search(pool, q.text, max(2 * limit, 50)).select("id", "score")
-    best = found.agg(F.max("score")).first()[0]
-    low = [t.lower() for t in q.text.split()]
-    exact = pool.filter(F.lower("name").isin(*low)).withColumn("nth", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("id"))).filter("nth <= 20").select("id", F.lit(float(best or 0.0)).alias("score"))
-    merged = found.unionByName(exact.join(found, "id", "left_anti"))
+    merged = with_exact_names(found, pool, q.text)
     rows = merged.join(pool.select("id", "name", "kind", "file_path"), "id")
     scored = rows.withColumn("score", F.col("score") + kind_bonus(F.col("kind")) + path_relevance(F.col("file_path"), q.text) + name_match_bonus(F.col("name"), q.text))
     return gate(scored.orderBy(F.desc("score"), "id").limit(limit), q.paths, q.names).select("id", "name", "kind", "file_path", "score")

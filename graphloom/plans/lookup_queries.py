@@ -228,13 +228,13 @@ def _(g, spark, sf):
     return clusters.join(g.files.select(F.col("language").alias("cluster_id"), "path"), "cluster_id", "left").groupBy("cluster_id").agg(F.count("path").alias("members"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
 
-HUNKS_SQL = ", hunks AS (SELECT l_orderkey * 10 + l_linenumber AS hunk_id, n.file_path AS path, CAST(l_orderkey % 500 * 15 + 1 AS INTEGER) AS a, CAST(l_orderkey % 500 * 15 + 1 + l_quantity AS INTEGER) AS b FROM lineitem JOIN nodes n ON n.id = 'function:' || l_partkey WHERE l_orderkey % 5 = 0 AND l_linenumber = 1)"
+HUNKS_SQL = ", hunks AS (SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS hunk_id, n.file_path AS path, CAST(l_orderkey % 500 * 15 + 1 AS INTEGER) AS a, CAST(l_orderkey % 500 * 15 + 1 + l_quantity AS INTEGER) AS b FROM (SELECT l_orderkey, l_partkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) JOIN nodes n ON n.id = 'function:' || l_partkey)"
 
 
 def hunks(g, spark, sf):
-    line = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_orderkey % 5 = 0 AND l_linenumber = 1")
+    line = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
     start = (F.col("l_orderkey") % 500 * 15 + 1).cast("int")
-    rows = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("hunk_id"), F.concat(F.lit("function:"), F.col("l_partkey").cast("string")).alias("id"), start.alias("start"), (start + F.col("l_quantity")).cast("int").alias("end"))
+    rows = line.select((F.col("l_orderkey") * 10_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("hunk_id"), F.concat(F.lit("function:"), F.col("l_partkey").cast("string")).alias("id"), start.alias("start"), (start + F.col("l_quantity")).cast("int").alias("end"))
     return rows.join(g.nodes.select("id", F.col("file_path").alias("path")), "id").select("hunk_id", "path", "start", "end")
 
 

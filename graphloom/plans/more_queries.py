@@ -56,12 +56,6 @@ def _(g, spark, sf):
     return search.segment_vocabulary(g.nodes.filter("kind = 'function'")).groupBy("segment").agg(F.count(F.lit(1)).alias("names"), F.min("name").alias("first_name"))
 
 
-@query("win_05", REFS_SQL + ", c AS (SELECT r.ref_id || ':' || r.reference_name AS ref_id, n.id AS target, CASE WHEN n.is_exported THEN 10 ELSE 0 END + n.start_line % 7 AS score FROM (SELECT DISTINCT * FROM refs) r JOIN nodes n ON n.name = r.reference_name) SELECT ref_id, target FROM c QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, target) = 1")
-def _(g, spark, sf):
-    rows = with_rid(refs(g, spark, sf)).select("ref_id", "reference_name").join(g.nodes.select(F.col("name").alias("reference_name"), F.col("id").alias("target"), (F.when(F.col("is_exported"), 10).otherwise(0) + F.col("start_line") % 7).alias("score")), "reference_name")
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("score"), "target"))).filter("nth = 1").select("ref_id", "target")
-
-
 @query("top_01", COSINE_SQL + " SELECT id, round(similarity, 6) AS similarity FROM sem WHERE similarity > 0 ORDER BY sem.similarity DESC, id LIMIT 10")
 def _(g, spark, sf):
     return search.semantic_top_k(node_vectors(spark, sf), query_vector(spark, sf), 10).select("id", F.round("similarity", 6).alias("similarity"))
@@ -89,12 +83,6 @@ def _(g, spark, sf):
     return search.reciprocal_rank_fusion(a, b, 1000).select("id", F.round("fused", 6).alias("fused"))
 
 
-@query("set_03", f"SELECT DISTINCT source AS id FROM active WHERE kind <> 'contains' AND target IN (SELECT id FROM nodes WHERE name LIKE 'red_ring%')")
-def _(g, spark, sf):
-    named = g.nodes.filter(F.col("name").startswith("red_ring")).select("id")
-    return g.active.filter("kind <> 'contains'").join(named.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id")).distinct()
-
-
 @query("set_06", "SELECT source AS flow_id, list_sort(list_distinct(list(kind))) AS kinds FROM active GROUP BY source")
 def _(g, spark, sf):
     head = g.active.filter("edge_id % 2 = 0").groupBy("source").agg(F.collect_set("kind").alias("k"))
@@ -113,13 +101,6 @@ def _(g, spark, sf):
     return context.simple_paths(g.active, root(g, "method:7"), near, 3).select(F.array_join("path", ">").alias("path"))
 
 
-@query("sr_06", "SELECT id, lower(name) AS low FROM (SELECT id, name, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS nth FROM nodes WHERE lower(name) IN ('nation_1', 'asia', 'red_ring_5')) WHERE nth <= 20")
-def _(g, spark, sf):
-    low = F.lower("name")
-    rows = g.nodes.filter(low.isin("nation_1", "asia", "red_ring_5")).select("id", low.alias("low"), F.row_number().over(Window.partitionBy(low).orderBy("id")).alias("nth"))
-    return rows.filter("nth <= 20").select("id", "low")
-
-
 @query("sr_22")
 def _(g, spark, sf):
     return context.relevant_context(g.nodes, g.active, "how does the red ring economy part get called")
@@ -144,14 +125,6 @@ def _(g, spark, sf):
     return hits.orderBy("qualified_name", "file_path", "start_line", "id").limit(30).select("id")
 
 
-@query("rs_05", REFS_SQL + ", c AS (SELECT DISTINCT r.file_path AS a, n.file_path AS b FROM refs r JOIN nodes n ON n.id = r.from_node_id WHERE r.language = 'go') SELECT a, b, CAST(CASE WHEN regexp_replace(a, '/[^/]*$', '') = regexp_replace(b, '/[^/]*$', '') THEN 15 * len(string_split(regexp_replace(a, '/[^/]*$', ''), '/')) ELSE 0 END AS INTEGER) AS proximity FROM c")
-def _(g, spark, sf):
-    from graphloom.functions.columns import proximity
-
-    rows = refs(g, spark, sf).filter("language = 'go'").join(g.nodes.select(F.col("id").alias("from_node_id"), F.col("file_path").alias("b")), "from_node_id")
-    return rows.select(F.col("file_path").alias("a"), "b").distinct().select("a", "b", proximity(F.col("a"), F.col("b")).cast("int").alias("proximity"))
-
-
 @query("rs_11", ", m AS (SELECT id, qualified_name AS fqn FROM nodes WHERE language = 'java') SELECT o.id AS source, m.id AS target FROM nodes o JOIN m ON m.fqn = regexp_replace(o.qualified_name, '\\.order_.*$', '.order_' || (o.start_line // 10)) WHERE o.kind = 'method' AND o.language = 'java'")
 def _(g, spark, sf):
     fqn = g.nodes.filter("language = 'java'").select(F.col("id").alias("target"), F.col("qualified_name").alias("fqn"))
@@ -159,11 +132,6 @@ def _(g, spark, sf):
     return wanted.join(fqn, "fqn").select("source", "target")
 
 
-@query("rs_15", REFS_SQL + " SELECT language, CAST(count(*) AS BIGINT) AS pending FROM (SELECT DISTINCT * FROM refs) GROUP BY language")
-def _(g, spark, sf):
-    return refs(g, spark, sf).groupBy("language").agg(F.count(F.lit(1)).alias("pending"))
-
-
 @query("snk_05", "SELECT id, '{\"id\":\"' || id || '\",\"name\":\"' || name || '\",\"start_line\":' || start_line || '}' AS json FROM nodes WHERE kind IN ('module', 'namespace')")
 def _(g, spark, sf):
     return g.nodes.filter("kind IN ('module', 'namespace')").select("id", F.to_json(F.struct("id", "name", "start_line")).alias("json"))
@@ -211,9 +179,3 @@ def _(g, spark, sf):
     hunk = F.concat(F.lit("@@ -1,2 +"), number(F.col("diff_id") % 50 + 1), F.lit(","), number(F.col("diff_id") % 4), F.lit(" @@ x"))
     lines = pages.select("diff_id", F.posexplode(F.array(F.lit("--- a/x.py"), F.lit("+++ b/x.py"), hunk, F.lit("+y"))).alias("line_no", "line"))
     return changes.parse_unified_diff(lines).select("diff_id", "new_start", "new_lines")
-
-
-@query("dy_01", "SELECT page_id, CAST(len(regexp_extract_all(html, 'track\\(')) AS BIGINT) AS hits FROM pages WHERE regexp_matches(html, 'track\\(')")
-def _(g, spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    return pages.filter(F.col("html").rlike(r"track\(")).select("page_id", F.regexp_count("html", F.lit(r"track\(")).cast("long").alias("hits"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import base_name
+from graphloom.plugins import REGISTRY
 
 # Extensions.
 LANGUAGES = {"py": "python", "pyi": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "javascript", "go": "go", "java": "java", "kt": "kotlin", "scala": "scala", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "swift": "swift", "m": "objc", "dart": "dart", "lua": "lua", "vue": "vue", "svelte": "svelte", "tf": "terraform"}
@@ -122,10 +123,12 @@ def extract_lines(path: str, source: str, language: str) -> dict:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """One row per file (path, source): its nodes, edges, references and errors."""
+    """One row per file (path, source): its nodes, edges, references and errors; by the registered extractor of its language, where there is one."""
+    added = dict(REGISTRY.extractors)
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [extract_python(p, s or "") if lang == "python" else extract_lines(p, s or "", lang) for p, s, lang in zip(pdf["path"], pdf["source"], pdf["language"])]
+            rows = [added[lang](p, s or "") if lang in added else extract_python(p, s or "") if lang == "python" else extract_lines(p, s or "", lang) for p, s, lang in zip(pdf["path"], pdf["source"], pdf["language"])]
             yield pd.DataFrame(rows, columns=["path", "nodes", "edges", "refs", "errors"])
 
     return files.select("path", "source", language_of(F.col("path")).alias("language")).mapInPandas(each, EXTRACTED)
@@ -151,8 +154,11 @@ ROUTES = {
 
 
 def routes(files: DataFrame) -> DataFrame:
-    """(path, framework, method, route) of route declarations in (path, source)."""
+    """(path, framework, method, route) of route declarations in (path, source), and what registered frameworks find."""
     found = None
+    for resolver in REGISTRY.frameworks.values():
+        own = resolver(files).select("path", "framework", "method", "route")
+        found = own if found is None else found.unionByName(own)
     for framework, pattern in ROUTES.items():
         hits = files.filter(F.col("source").rlike("(?m)" + pattern)).select("path", F.lit(framework).alias("framework"), F.explode(F.arrays_zip(F.regexp_extract_all("source", F.lit("(?m)" + pattern), F.lit(1)).alias("method"), F.regexp_extract_all("source", F.lit("(?m)" + pattern), F.lit(2)).alias("route"))).alias("r")).select("path", "framework", F.lower("r.method").alias("method"), "r.route")
         found = hits if found is None else found.unionByName(hits)

@@ -62,7 +62,70 @@ def test_stream_of_changes(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = sync.file_stream(spark, source, spark.read.parquet(source).schema, "*.parquet")
         sync.sync_stream(stream, table, "key", "at", "gone", f"{tmp_path}/check").awaitTermination()
-    assert {(r.key, r.value) for r in table.read().collect()} == {("a", "z"), ("c", "w")}
+    assert {(r.key, r.value) for r in sync.live(table, "gone").collect()} == {("a", "z"), ("c", "w")}
+    late = spark.createDataFrame([("a", 2, "old", False), ("b", 3, "back", False), ("c", 6, "v", False)], schema)
+    sync.apply_changes(table, late, "key", "at", "gone")
+    assert {(r.key, r.value) for r in sync.live(table, "gone").collect()} == {("a", "z"), ("c", "v")}
+
+
+def test_progress_and_retries(spark, tmp_path):
+    import time
+
+    told = []
+    listener = sync.Progress(lambda *x: told.append(x))
+    spark.streams.addListener(listener)
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    source = lambda: sync.file_stream(spark, f"{tmp_path}/in", "id long", "*.parquet")
+    tries = []
+
+    def start():
+        tries.append(1)
+
+        def step(batch, _):
+            if len(tries) < 3:
+                raise ValueError("not yet")
+            batch.count()
+
+        return source().writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+
+    assert sync.with_retries(start, first_wait=0.01) and len(tries) == 3
+    assert not sync.with_retries(lambda: source().writeStream.foreachBatch(lambda b, _: 1 / 0).option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start(), tries=2, first_wait=0.01)
+    for _ in range(50):
+        if any(x[0] == "failed" for x in told) and any(x[0] == "progress" for x in told):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert {"started", "progress", "ended", "failed"} <= {x[0] for x in told}
+
+
+def test_plug_ins(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom import plugins
+
+    provider = plugins.hashed_words(8)
+    inputs = spark.createDataFrame([(f"n{k}", f"text {k % 3}", f"h{k}") for k in range(10)], "id string, input string, input_hash string")
+    vectors = plugins.embed_nodes(inputs, provider)
+    rows = {r.node_id: r for r in vectors.collect()}
+    assert len(rows) == 10 and rows["n0"].vector == rows["n3"].vector != rows["n1"].vector and rows["n0"].dims == 8
+    known = vectors.filter("node_id <> 'n4'")
+    assert [r.node_id for r in plugins.embed_nodes(inputs, provider, known).collect()] == ["n4"]
+    state = plugins.vector_state(vectors, provider.model)
+    changed = vectors.withColumn("input_hash", F.when(F.col("node_id") == "n1", "new").otherwise(F.col("input_hash")))
+    assert state[:3] == (provider.model, 10, 8) and plugins.vector_state(changed, provider.model)[3] != state[3] == plugins.vector_state(vectors.orderBy("input"), provider.model)[3]
+    assert plugins.vector_state(vectors, "other")[1:3] == (0, 0)
+    members = spark.createDataFrame([("c", "b/x"), ("c", "a/y"), ("d", "z")], "community string, path string")
+    label = lambda paths: paths[0] if len(paths) > 1 else 1 / 0
+    assert {tuple(r) for r in plugins.label_clusters(members, label).collect()} == {("c", "a/y"), ("d", None)}
+    plugins.REGISTRY.extractors["lua"] = lambda path, source: {"path": path, "nodes": [], "edges": [], "refs": [], "errors": ["own"]}
+    plugins.REGISTRY.frameworks["mine"] = lambda files: files.select("path", F.lit("mine").alias("framework"), F.lit("get").alias("method"), F.col("source").alias("route"))
+    try:
+        files = spark.createDataFrame([("a.lua", "/r")], "path string, source string")
+        assert extract.extract(files).first().errors == ["own"]
+        assert [tuple(r) for r in extract.routes(files).collect()] == [("a.lua", "mine", "get", "/r")]
+    finally:
+        plugins.REGISTRY.extractors.clear()
+        plugins.REGISTRY.frameworks.clear()
 
 
 def test_clusters_of_two_cliques(spark):
