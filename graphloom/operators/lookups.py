@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.columns import glob_regex
+from graphloom.functions.columns import glob_regex, is_low_value_file
 
 
 def nodes_by_ids(nodes: DataFrame, ids: list[str]) -> DataFrame:
@@ -93,3 +93,41 @@ def retryable(failed: DataFrame, names: DataFrame, most: int = 500) -> DataFrame
 def stale_files(stored: DataFrame, seen: DataFrame) -> DataFrame:
     """Paths whose content hash differs between two listings (path, content_hash)."""
     return stored.select("path", F.col("content_hash").alias("was")).join(seen, "path").filter("was <> content_hash").select("path")
+
+
+def dominant_file(nodes: DataFrame, edges: DataFrame, most: int = 20, least: int = 20) -> DataFrame:
+    """(file_path, edge_count, next_edge_count) of the file with most edges within it: of the first `most` files those of low value go, and the first that is left needs `least` edges; no row otherwise."""
+    places = nodes.select("id", "file_path")
+    inside = edges.join(places.toDF("source", "file_path"), "source").join(places.toDF("target", "target_file"), "target").filter("file_path = target_file")
+    top = inside.groupBy("file_path").agg(F.count(F.lit(1)).alias("edge_count")).orderBy(F.desc("edge_count"), "file_path").limit(most)
+    order = Window.orderBy(F.desc("edge_count"), "file_path")  # over `most` rows
+    left = top.filter(~is_low_value_file(F.col("file_path"))).select("file_path", "edge_count", F.coalesce(F.lead("edge_count").over(order), F.lit(0)).alias("next_edge_count"), F.row_number().over(order).alias("nth"))
+    return left.filter((F.col("nth") == 1) & (F.col("edge_count") >= least)).drop("nth")
+
+
+def top_route_file(nodes: DataFrame, kind: str = "route", most: int = 20, least: int = 3, share: float = 0.3) -> DataFrame:
+    """(file_path, routes, total) of the file with most routes, if it has `least` and that share of those in the first `most` files without the ones of low value."""
+    top = nodes.filter(F.col("kind") == kind).groupBy("file_path").agg(F.count(F.lit(1)).alias("routes")).orderBy(F.desc("routes"), "file_path").limit(most)
+    left = top.filter(~is_low_value_file(F.col("file_path"))).withColumn("total", F.sum("routes").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))  # over `most` rows
+    return left.orderBy(F.desc("routes"), "file_path").limit(1).filter((F.col("total") >= least) & (F.col("routes") >= least) & (F.col("routes") >= share * F.col("total")))
+
+
+def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: how many nodes, files and edges there are, and the largest edge id."""
+    one = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("file_path").alias("files"))
+    two = edges.agg(F.count(F.lit(1)).alias("edges"), F.max("edge_id").alias("last_edge"))
+    return one.select("*", F.lit(None).cast("long").alias("edges"), F.lit(None).cast("long").alias("last_edge")).unionByName(two.select(F.lit(None).cast("long").alias("nodes"), F.lit(None).cast("long").alias("files"), "edges", "last_edge")).agg(*[F.max(c).alias(c) for c in ("nodes", "files", "edges", "last_edge")])
+
+
+def routing_manifest(nodes: DataFrame, edges: DataFrame, kind: str = "route", limit: int = 40, least: int = 3) -> DataFrame:
+    """(url, handler, handler_file, handler_line, handler_kind, in_file, top_file) of the first `limit` routes by file and line and what they refer to or call; handlers in files of low value go. No rows below `least`. in_file: handlers of the list in the file; top_file: whether it has most, and of such files the first."""
+    routes = nodes.filter(F.col("kind") == kind).select(F.col("id").alias("source"), F.col("name").alias("url"), F.col("file_path").alias("route_file"), F.col("start_line").alias("route_line"))
+    handlers = nodes.filter(F.col("kind").isin("function", "method", "class")).select(F.col("id").alias("target"), F.col("name").alias("handler"), F.col("file_path").alias("handler_file"), F.col("start_line").alias("handler_line"), F.col("kind").alias("handler_kind"))
+    place = ("route_file", "route_line", "source", "edge_id")
+    first = edges.filter("kind IN ('references', 'calls')").select("source", "target", "edge_id").join(routes, "source").join(handlers, "target").orderBy(*place).limit(limit)
+    everything = Window.orderBy(*place)  # over `limit` rows
+    whole = everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = first.filter(~is_low_value_file(F.col("handler_file"))).withColumn("in_file", F.count(F.lit(1)).over(Window.partitionBy("handler_file"))).withColumn("total", F.count(F.lit(1)).over(whole))
+    ranked = left.withColumn("nth", F.row_number().over(everything))
+    top = F.first("handler_file").over(Window.orderBy(F.desc("in_file"), "nth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return ranked.withColumn("top_file", F.col("handler_file") == top).filter(F.col("total") >= least).select("url", "handler", "handler_file", "handler_line", "handler_kind", "in_file", "top_file")

@@ -223,9 +223,13 @@ def _(g, spark, sf):
     return search.gate(scored.orderBy(F.desc("score"), "id").limit(50), q.paths, q.names).select("id", "score")
 
 
-@query("sr_07_full")
+WORD_PATH_SQL = " + ".join(f"(CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), '{w}') THEN 10 ELSE 0 END + CASE WHEN contains(lower(regexp_replace(file_path, '/?[^/]*$', '')), '{w}') THEN 5 WHEN contains(lower(file_path), '{w}') THEN 3 ELSE 0 END)" for w in ("red", "ring")) + f" - CASE WHEN {TEST_SQL.format('file_path')} THEN 15 ELSE 0 END"
+WORD_NAME_SQL = "CASE WHEN lower(name) = 'redring' THEN 80 WHEN lower(name) IN ('red', 'ring') THEN 60 WHEN starts_with(lower(name), 'redring') THEN CAST(floor(10.5 + 30.0 * 7 / length(name)) AS INTEGER) WHEN contains(lower(name), 'red') AND contains(lower(name), 'ring') THEN 15 WHEN contains(lower(name), 'redring') THEN 10 ELSE 0 END"
+
+
+@query("sr_07_full", RING + f", top AS (SELECT b.id, b.score FROM bm b JOIN nodes n ON n.id = b.id WHERE n.kind = 'function' ORDER BY b.score DESC, b.id LIMIT 250), best AS (SELECT max(score) AS best FROM top), x AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS nth FROM nodes WHERE kind = 'function' AND lower(name) IN ('red', 'ring')) WHERE nth <= 20), m AS (SELECT id, score FROM top UNION ALL SELECT id, best FROM x, best WHERE id NOT IN (SELECT id FROM top)), r AS (SELECT n.id, n.name, n.kind, n.file_path, m.score + {KIND_SQL} + {WORD_PATH_SQL} + {WORD_NAME_SQL} AS score FROM m JOIN nodes n ON n.id = m.id) SELECT id, name, kind, file_path, round(score, 6) AS score FROM (SELECT * FROM r ORDER BY score DESC, id LIMIT 50) WHERE contains(lower(file_path), 'brand')")
 def _(g, spark, sf):
-    return search.search_nodes(g.nodes, "kind:function path:brand red ring", 50)
+    return search.search_nodes(g.nodes, "kind:function path:brand red ring", 50).withColumn("score", F.round("score", 6))
 
 
 @query("sr_13", "SELECT name, regexp_matches(name, '[_0-9]') OR regexp_matches(substr(name, 2), '[A-Z]') AS distinctive FROM (SELECT DISTINCT name FROM nodes WHERE kind IN ('module', 'namespace', 'class'))")
@@ -308,6 +312,9 @@ def _(g, spark, sf):
     return resolve.by_exact_name(with_rid(refs(g, spark, sf)), g.nodes).select("ref_id", "target", "confidence")
 
 
+LOWER_SQL = f", lc AS (SELECT r.ref_id || ':' || r.reference_name AS rid, n.id AS target, r.language = n.language AS same FROM (SELECT DISTINCT * FROM refs) r JOIN nodes n ON lower(n.name) = lower(r.reference_name) AND n.kind IN ('function', 'method', 'class') WHERE {GATE_SQL}), lk AS (SELECT *, bool_or(same) OVER (PARTITION BY rid) AS any_same FROM lc), low AS (SELECT rid, any_value(target) AS target, CAST(CASE WHEN bool_or(same) THEN 0.5 ELSE 0.3 END AS DOUBLE) AS confidence FROM lk WHERE same OR NOT any_same GROUP BY rid HAVING count(*) = 1)"
+
+
 @query("rs_06", REFS_SQL + f", c AS (SELECT r.ref_id || ':' || r.reference_name AS rid, n.id AS target, r.language = n.language AS same FROM (SELECT DISTINCT * FROM refs) r JOIN nodes n ON lower(n.name) = lower(r.reference_name) AND n.kind IN ('function', 'method', 'class') WHERE {GATE_SQL}), k AS (SELECT *, bool_or(same) OVER (PARTITION BY rid) AS any_same FROM c) SELECT rid AS ref_id, any_value(target) AS target, CAST(CASE WHEN bool_or(same) THEN 0.5 ELSE 0.3 END AS DOUBLE) AS confidence FROM k WHERE same OR NOT any_same GROUP BY rid HAVING count(*) = 1")
 def _(g, spark, sf):
     return resolve.by_lower_name(with_rid(refs(g, spark, sf)), g.nodes).select("ref_id", "target", "confidence")
@@ -319,7 +326,7 @@ def _(g, spark, sf):
     return resolve.make_edges(resolve.by_exact_name(rows, g.nodes), rows, g.nodes).select("ref_id", "source", "target", "kind")
 
 
-@query("rs_01")
+@query("rs_01", REFS_SQL + EXACT_SQL + LOWER_SQL + ", u AS (SELECT rid, target, confidence, 'exact-match' AS resolved_by, 2 AS place FROM exact UNION ALL SELECT rid, target, confidence, 'fuzzy', 3 FROM low) SELECT rid AS ref_id, target, confidence, resolved_by FROM u QUALIFY row_number() OVER (PARTITION BY rid ORDER BY confidence DESC, place, target) = 1")
 def _(g, spark, sf):
     return resolve.resolve(with_rid(refs(g, spark, sf)), g.nodes, g.files)
 

@@ -87,10 +87,13 @@ def _(g, spark, sf):
     return g.files.select("path", is_test_file(p).alias("is_test"), is_low_value_file(p).alias("is_low_value"), is_generated_file(p).alias("is_generated"))
 
 
-@query("flt_13", "SELECT id FROM nodes WHERE file_path = (SELECT file_path FROM nodes WHERE id = 'class:c7') AND start_line <= 75 AND end_line >= 75")
+@query("flt_13", "SELECT id, CAST(row_number() OVER (ORDER BY end_line - start_line, end_column - start_column, length(name) DESC, id) AS INTEGER) AS place FROM nodes WHERE file_path = (SELECT file_path FROM nodes WHERE id = 'class:c7') AND start_line <= 75 AND end_line >= 75")
 def _(g, spark, sf):
-    path = g.nodes.filter(F.col("id") == CLASS).select("file_path")
-    return g.nodes.join(F.broadcast(path), "file_path", "left_semi").filter("start_line <= 75 AND end_line >= 75").select("id")
+    """What covers a line, the narrowest first."""
+    path = g.nodes.filter(F.col("id") == CLASS).first()["file_path"]
+    found = lookups.at_location(g.nodes, path, 75)
+    order = Window.orderBy(F.col("end_line") - F.col("start_line"), F.col("end_column") - F.col("start_column"), F.desc(F.length("name")), "id")  # over the nodes of one line
+    return found.select("id", F.row_number().over(order).cast("int").alias("place"))
 
 
 @query("flt_14", "SELECT id FROM nodes WHERE file_path LIKE 'Brand#1/%' AND is_exported")
@@ -173,12 +176,10 @@ def _(g, spark, sf):
     return g.active.join(targets, "target").join(sources, "source").filter("source_file <> file_path").select("edge_id", "target_name", "target_kind", "source_file", "source_language")
 
 
-@query("join_04", f", m AS (SELECT s.id AS route, t.id AS handler, t.file_path, s.file_path AS route_file, s.start_line FROM active e JOIN nodes s ON e.source = s.id JOIN nodes t ON e.target = t.id WHERE s.kind = 'method' AND s.language = 'python' AND e.kind IN ('calls', 'references') AND t.kind IN ('function', 'method', 'class') AND NOT {LOW_SQL.format('t.file_path')} ORDER BY s.file_path, s.start_line, s.id, e.edge_id LIMIT 40) SELECT route, handler, file_path, CAST(count(*) OVER (PARTITION BY file_path) AS BIGINT) AS in_file FROM m")
+@query("join_04", f", m AS (SELECT s.name AS url, t.name AS handler, t.file_path AS handler_file, t.start_line AS handler_line, t.kind AS handler_kind, row_number() OVER (ORDER BY s.file_path, s.start_line, s.id, e.edge_id) AS nth FROM active e JOIN nodes s ON e.source = s.id JOIN nodes t ON e.target = t.id WHERE s.kind = 'method' AND e.kind IN ('calls', 'references') AND t.kind IN ('function', 'method', 'class') QUALIFY nth <= 40), k AS (SELECT *, count(*) OVER (PARTITION BY handler_file) AS in_file, count(*) OVER () AS total FROM m WHERE NOT {LOW_SQL.format('handler_file')}) SELECT url, handler, handler_file, handler_line, handler_kind, CAST(in_file AS BIGINT) AS in_file, handler_file = first_value(handler_file) OVER (ORDER BY in_file DESC, nth) AS top_file FROM k WHERE total >= 3")
 def _(g, spark, sf):
-    sources = g.nodes.filter("kind = 'method' AND language = 'python'").select(F.col("id").alias("source"), F.col("file_path").alias("route_file"), "start_line")
-    targets = g.nodes.filter(F.col("kind").isin("function", "method", "class") & ~is_low_value_file(F.col("file_path"))).select(F.col("id").alias("target"), "file_path")
-    rows = g.active.filter("kind IN ('calls', 'references')").join(sources, "source").join(targets, "target").orderBy("route_file", "start_line", "source", "edge_id").limit(40)
-    return rows.select(F.col("source").alias("route"), F.col("target").alias("handler"), "file_path", F.count(F.lit(1)).over(Window.partitionBy("file_path")).alias("in_file"))
+    """Methods stand for routes, which the tables do not have."""
+    return lookups.routing_manifest(g.nodes, g.active, "method")
 
 
 @query("join_05", f"SELECT e.edge_id, e.kind, s.file_path FROM active e JOIN nodes s ON e.source = s.id WHERE e.target = 'function:5' AND e.kind IN {IN(RENAME_KINDS)}")
@@ -264,25 +265,18 @@ def _(g, spark, sf):
     return part(g.nodes, "node:", F.col("kind")).unionByName(part(g.edges, "edge:", F.col("kind"))).unionByName(part(g.files, "file:", F.col("language")))
 
 
-IN_FILE_SQL = f", c AS (SELECT s.file_path, count(*) AS n FROM active e JOIN nodes s ON e.source = s.id JOIN nodes t ON e.target = t.id WHERE s.file_path = t.file_path GROUP BY s.file_path), top AS (SELECT * FROM c WHERE NOT {LOW_SQL.format('file_path')} ORDER BY n DESC, file_path LIMIT 20)"
-
-
-def in_file_counts(g):
-    s, t = g.nodes.select(F.col("id").alias("source"), F.col("file_path").alias("a")), g.nodes.select(F.col("id").alias("target"), F.col("file_path").alias("b"))
-    rows = g.active.join(s, "source").join(t, "target").filter("a = b").groupBy(F.col("a").alias("file_path")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.filter(~is_low_value_file(F.col("file_path"))).orderBy(F.desc("n"), "file_path").limit(20)
+IN_FILE_SQL = f", c AS (SELECT s.file_path, count(*) AS n FROM active e JOIN nodes s ON e.source = s.id JOIN nodes t ON e.target = t.id WHERE s.file_path = t.file_path GROUP BY s.file_path), top AS (SELECT * FROM (SELECT * FROM c ORDER BY n DESC, file_path LIMIT 20) WHERE NOT {LOW_SQL.format('file_path')})"
 
 
-@query("agg_02", IN_FILE_SQL + " SELECT file_path, CAST(n AS BIGINT) AS n, CAST(lead(n) OVER (ORDER BY n DESC, file_path) AS BIGINT) AS runner_up FROM top QUALIFY row_number() OVER (ORDER BY n DESC, file_path) = 1")
+@query("agg_02", IN_FILE_SQL + " SELECT file_path, edge_count, next_edge_count FROM (SELECT file_path, CAST(n AS BIGINT) AS edge_count, CAST(coalesce(lead(n) OVER (ORDER BY n DESC, file_path), 0) AS BIGINT) AS next_edge_count, row_number() OVER (ORDER BY n DESC, file_path) AS nth FROM top) WHERE nth = 1 AND edge_count >= 20")
 def _(g, spark, sf):
-    order = Window.orderBy(F.desc("n"), "file_path")
-    return in_file_counts(g).select("file_path", "n", F.lead("n").over(order).alias("runner_up"), F.row_number().over(order).alias("nth")).filter("nth = 1").drop("nth")
+    return lookups.dominant_file(g.nodes, g.active)
 
 
-@query("agg_03", ", c AS (SELECT file_path, count(*) AS n FROM nodes WHERE kind = 'method' GROUP BY file_path ORDER BY n DESC, file_path LIMIT 20) SELECT file_path, CAST(n AS BIGINT) AS n, round(n * 1.0 / sum(n) OVER (), 6) AS share FROM c QUALIFY row_number() OVER (ORDER BY n DESC, file_path) <= 3")
+@query("agg_03", f", c AS (SELECT file_path, count(*) AS n FROM nodes WHERE kind = 'method' GROUP BY file_path ORDER BY n DESC, file_path LIMIT 20), k AS (SELECT *, sum(n) OVER () AS total FROM c WHERE NOT {LOW_SQL.format('file_path')}) SELECT file_path, CAST(n AS BIGINT) AS routes, CAST(total AS BIGINT) AS total FROM k WHERE n >= 3 AND total >= 3 AND n >= 0.01 * total QUALIFY row_number() OVER (ORDER BY n DESC, file_path) = 1")
 def _(g, spark, sf):
-    top = g.nodes.filter("kind = 'method'").groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "file_path").limit(20)
-    return top.select("file_path", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"), F.row_number().over(Window.orderBy(F.desc("n"), "file_path")).alias("nth")).filter("nth <= 3").drop("nth")
+    """Methods stand for routes, which the tables do not have; so many files have them that a hundredth is asked for."""
+    return lookups.top_route_file(g.nodes, "method", share=0.01)
 
 
 WEIGHTS_SQL = ", w AS (SELECT s.file_path AS source_file, t.file_path AS target_file, count(*) AS weight FROM active e JOIN nodes s ON e.source = s.id JOIN nodes t ON e.target = t.id WHERE e.kind IN ('calls', 'imports') AND s.file_path <> t.file_path GROUP BY 1, 2)"
@@ -316,11 +310,9 @@ def _(g, spark, sf):
     return page.join(counts, "flow_id", "left").na.fill({"steps": 0})
 
 
-@query("agg_11", "SELECT CAST((SELECT count(*) FROM nodes) AS BIGINT) AS nodes, CAST((SELECT count(*) FROM edges) AS BIGINT) AS edges, CAST((SELECT count(*) FROM files) AS BIGINT) AS files, (SELECT min(name) FROM nodes WHERE kind = 'function') AS first_name, CAST((SELECT max(edge_id) FROM edges) AS BIGINT) AS last_edge")
+@query("agg_11", "SELECT CAST((SELECT count(*) FROM nodes) AS BIGINT) AS nodes, CAST((SELECT count(*) FROM edges) AS BIGINT) AS edges, CAST((SELECT count(*) FROM files) AS BIGINT) AS files, CAST((SELECT max(edge_id) FROM edges) AS BIGINT) AS last_edge")
 def _(g, spark, sf):
-    n = g.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("file_path").alias("files"), F.min(F.when(F.col("kind") == "function", F.col("name"))).alias("first_name"))
-    e = g.edges.agg(F.count(F.lit(1)).alias("edges"), F.max("edge_id").alias("last_edge"))
-    return n.join(e, F.lit(True)).select("nodes", "edges", "files", "first_name", "last_edge")  # two rows of one
+    return lookups.totals(g.nodes, g.edges).select("nodes", "edges", "files", "last_edge")
 
 
 @query("agg_12", "SELECT file_path, qualified_name, CAST(count(*) AS BIGINT) AS definitions, min(id) AS first_id FROM nodes WHERE kind = 'function' GROUP BY file_path, qualified_name")
