@@ -59,7 +59,7 @@ LISTED, LEAST_SHARED = 16, 4
 #: Standard deviations by which an estimate may fall short of what it is held against.
 SLACK = 6.0
 #: Members of a block, and the values of their deltas, at most, about; columns of a dense step; members that share one reading of their hub.
-BLOCK, BLOCK_VALUES, COLUMNS, MEMBERS = 256, 400_000, 8_192, 64
+BLOCK, BLOCK_VALUES, COLUMNS, MEMBERS = 128, 400_000, 8_192, 64
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
