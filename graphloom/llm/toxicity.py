@@ -15,9 +15,10 @@ has seen twice says nothing of its own, its log-likelihood ratio is
 b(u) + g(w), and only pairs that a class has seen at least twice are kept.
 
 A text is compared by the difference of its length-normalised log-likelihoods,
-and by how far single words' ratios exceed fixed ones: a few toxic words in a
-long ordinary text hardly move the mean (the README has figures). A logistic
-calibration on labelled rows that the counts have not seen makes a score of it.
+and by how far single words' ratios exceed fixed ones, with the length: a few
+toxic words in a long ordinary text hardly move the mean (the README has
+figures). A logistic calibration on labelled rows that the counts have not seen
+makes a score of it.
 
 Scale: every labelled text outside the calibration fold is counted, by 64-bit
 hashes of words. A task ships its distinct pairs as packed sorted arrays, dealt
@@ -50,7 +51,7 @@ from graphloom.llm.common import discard, hash_sample, hash_strings, id_and_text
 #: What continuation counts of both classes are discounted by.
 SHARED_DISCOUNT = 0.75
 #: Log ratios beyond which a word's excess counts.
-EXCESS = (0.5, 1.0, 2.0)
+EXCESS = (0.5, 1.0, 2.0, 3.0, 4.0)
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 #: Labelled rows that the calibration uses at most, about.
 CALIBRATION_ROWS = 20_000
@@ -297,8 +298,9 @@ def log_ratios(counts: Counts, words: np.ndarray, before: np.ndarray) -> np.ndar
 
 
 def features(ratio: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """By text: the difference of length-normalised log-likelihoods, and the logarithms of the excesses."""
-    out = [row_sums(ratio, offsets) / np.maximum(np.diff(offsets), 1)]
+    """By text: the difference of length-normalised log-likelihoods, and the logarithms of the length and of the excesses, so that weights can normalise these by length too."""
+    length = np.diff(offsets)
+    out = [row_sums(ratio, offsets) / np.maximum(length, 1), np.log1p(length)]
     out += [np.log1p(np.maximum(row_sums(np.maximum(ratio - x, 0), offsets), 0)) for x in EXCESS]
     return np.stack(out, axis=1)
 
