@@ -159,6 +159,30 @@ def entry_points(nodes: DataFrame, edges: DataFrame, extra: DataFrame | None = N
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("root").orderBy(order))).filter("nth = 1").drop("nth")
 
 
+# How JavaScript and TypeScript sources name what they register.
+COMMAND = r"\.command\(\s*['\"`]([^'\"`]+)['\"`]"
+ACTION = r"(?s)^.*?\.action\(\s*([A-Za-z_$][\w$]*)\s*\)"
+LISTENER = r"\.(?:on|once|addListener|addEventListener|subscribe)\(\s*['\"`][^'\"`]+['\"`]\s*,\s*([A-Za-z_$][\w$]*)\s*[,)]"
+COMMENTS = r"(?s)/\*.*?\*/|(?m)(?<![:'\"`])//[^\n]*"
+
+
+def handlers(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """named (file_path, handler, ...) with the root that each name means: of the functions and methods of that name one in the same file, then by file, qualified name and id."""
+    pool = nodes.filter(F.col("kind").isin("function", "method")).select(F.col("id").alias("root"), F.col("name").alias("handler"), F.col("file_path").alias("root_file"), "qualified_name")
+    keys = named.columns
+    order = Window.partitionBy(*keys).orderBy(F.when(F.col("root_file") == F.col("file_path"), 0).otherwise(1), "root_file", "qualified_name", "root")
+    return named.join(pool, "handler").withColumn("nth", F.row_number().over(order)).filter("nth = 1").select(*keys, "root")
+
+
+def registered_entries(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(root, entry_kind) of command-line actions and event listeners that sources (path, source) register by name; comments do not count, and an action belongs to the command before it."""
+    plain = files.select(F.col("path").alias("file_path"), F.regexp_replace("source", COMMENTS, " ").alias("source"))
+    parts = F.slice(F.split("source", COMMAND), 2, 1 << 30)
+    cli = plain.filter(F.col("source").rlike(COMMAND)).select("file_path", F.explode(parts).alias("part")).select("file_path", F.regexp_extract("part", ACTION, 1).alias("handler"), F.lit("cli").alias("entry_kind"))
+    event = plain.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(LISTENER), F.lit(1)))).alias("handler"), F.lit("event").alias("entry_kind"))
+    return handlers(cli.unionByName(event).filter("handler <> ''").distinct(), nodes).select("root", "entry_kind").distinct()
+
+
 def flow_id(entry_kind: Column, path: Column, identity: Column) -> Column:
     return F.concat(F.lit("flow:"), F.substring(F.sha2(F.concat_ws("\0", entry_kind, path, identity), 256), 1, 16))
 

@@ -131,3 +131,9 @@ def routing_manifest(nodes: DataFrame, edges: DataFrame, kind: str = "route", li
     ranked = left.withColumn("nth", F.row_number().over(everything))
     top = F.first("handler_file").over(Window.orderBy(F.desc("in_file"), "nth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return ranked.withColumn("top_file", F.col("handler_file") == top).filter(F.col("total") >= least).select("url", "handler", "handler_file", "handler_line", "handler_kind", "in_file", "top_file")
+
+
+def definitions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, definition) of import and export nodes: what their first such edge leads to; nodes without one are dropped."""
+    first = edges.filter("kind IN ('imports', 'exports')").groupBy(F.col("source").alias("id")).agg(F.min_by("target", "edge_id").alias("definition"))
+    return nodes.select("id").join(first, "id")

@@ -43,7 +43,8 @@ def candidate_score() -> Column:
 def by_exact_name(refs: DataFrame, nodes: DataFrame, most: int = AMBIGUOUS, lexical: bool = True) -> DataFrame:
     """(ref_id, target, confidence, resolved_by): one candidate .9 (.5 in another language); of several the best, .7 if near, else .4; none of more than `most`.
 
-    lexical: functions within functions count only where scope reaches them.
+    lexical: functions within functions count only where scope reaches them,
+    if nodes say where they end.
     Candidates are counted as the language gate lets them through. Names with
     too many for a reference's family are dropped before the join, which is by
     name and family, so it makes no pair that the gate or the ceiling drops.
@@ -54,7 +55,7 @@ def by_exact_name(refs: DataFrame, nodes: DataFrame, most: int = AMBIGUOUS, lexi
     few = counted.select(F.col("target_name").alias("reference_name"), "named", F.explode("passing").alias("family")).groupBy("reference_name", "family").agg(F.sum("named").alias("named")).filter(F.col("named") <= most)
     gated = refs.withColumn("family", known("language")).join(few, ["reference_name", "family"], "left_semi").withColumn("target_family", F.explode(gate_families(F.col("language"))))
     joined = gated.join(pool, (F.col("reference_name") == F.col("target_name")) & (gated["target_family"] == pool["target_family"]))
-    if lexical:
+    if lexical and "end_line" in nodes.columns:
         from graphloom.operators.receivers import lexically_reachable
 
         joined = lexically_reachable(joined, nodes)

@@ -78,3 +78,27 @@ class VersionedTable:
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self.version()}")
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame, meta: VersionedTable) -> DataFrame:
+    """old over-written by new, one row for each node_id, and the counter vectors_version in meta raised by one where new has rows."""
+    if new.limit(1).count():
+        bump(meta, "vectors_version")
+    return upsert(old, new, ["node_id"])
+
+
+def metadata(meta: VersionedTable) -> dict[str, str]:
+    """All keys of a table of settings."""
+    return {r["key"]: r["value"] for r in meta.read().collect()} if meta.version() else {}
+
+
+def set_metadata(meta: VersionedTable, key: str, value: str) -> None:
+    rows = {**metadata(meta), key: value}
+    meta.swap(meta.spark.createDataFrame(sorted(rows.items()), "key string, value string").coalesce(1))
+
+
+def bump(meta: VersionedTable, key: str) -> int:
+    """Raises a counter by one; it never falls."""
+    value = int(metadata(meta).get(key, 0)) + 1
+    set_metadata(meta, key, str(value))
+    return value

@@ -415,12 +415,6 @@ def _(g, spark, sf):
     return segment_vocabulary(g.nodes).groupBy("segment").agg(F.count(F.lit(1)).alias("names"))
 
 
-@query("snk_09", "SELECT user_id AS node_id, max(ts) AS last_ts, CAST(max_by(event_id, ts) AS BIGINT) AS event_id FROM events GROUP BY user_id")
-def _(g, spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    return store.latest(events, "user_id", "ts").select(F.col("user_id").alias("node_id"), F.col("ts").alias("last_ts"), "event_id")
-
-
 @query("src_03", "SELECT path, CASE WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.go' THEN 'go' WHEN path LIKE '%.cpp' THEN 'cpp' END AS language FROM files")
 def _(g, spark, sf):
     from graphloom.sources.extract import language_of

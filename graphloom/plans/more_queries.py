@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.operators import changes, context, lookups, search, store
+from graphloom import plugins
+from graphloom.operators import catalogs, changes, context, explore, lookups, resolve, search, store
 from graphloom.operators import traversal as walk
 from graphloom.plans.graph_queries import COSINE_SQL, REFS_SQL, query_vector, refs, root, with_rid
 from graphloom.plans.lookup_queries import node_vectors
 from graphloom.plans.registry import query
-from graphloom.sources import extract
+from graphloom.session import shared_dir
+from graphloom.sources import extract, git
 
 
 @query("flt_19", "SELECT file_path, CAST(count(*) AS BIGINT) AS nodes, CAST(sum(strlen(name) + strlen(qualified_name)) AS BIGINT) AS bytes FROM nodes WHERE start_line <= 100 AND end_line >= 55 GROUP BY file_path")
@@ -31,15 +35,19 @@ def _(g, spark, sf):
     return failed.select("ref_id", F.lit("failed").alias("status"), lookups.name_tail(F.col("reference_name")).alias("name_tail"))
 
 
-@query("join_14", "SELECT e.edge_id, n.id AS definition FROM active e JOIN nodes n ON n.id = e.target WHERE e.kind = 'imports'")
+@query("join_14", ", r AS (SELECT e.edge_id, s.file_path, s.language, s.start_line AS line, t.name FROM active e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE e.kind = 'imports'), c AS (SELECT r.edge_id, n.id, r.language = n.language AS same, r.file_path = n.file_path AS here, count(*) OVER (PARTITION BY r.edge_id) AS k FROM r JOIN nodes n ON n.name = r.name) SELECT edge_id AS ref_id, id AS definition, CAST(CASE WHEN same THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM c WHERE k = 1")
 def _(g, spark, sf):
-    return g.active.filter("kind = 'imports'").join(g.nodes.select(F.col("id").alias("target")), "target").select("edge_id", F.col("target").alias("definition"))
+    """Imported names to their definitions."""
+    here = g.nodes.select(F.col("id").alias("source"), "file_path", "language", F.col("start_line").alias("line"))
+    named = g.nodes.select(F.col("id").alias("target"), F.col("name").alias("reference_name"))
+    asked = g.active.filter("kind = 'imports'").select(F.col("edge_id").alias("ref_id"), "source", "target").join(here, "source").join(named, "target").drop("target").withColumn("reference_kind", F.lit("imports"))
+    return resolve.by_exact_name(asked, g.nodes).select("ref_id", F.col("target").alias("definition"), "confidence")
 
 
-@query("join_16", "SELECT n.id, coalesce(min_by(e.target, e.edge_id), n.id) AS definition FROM nodes n LEFT JOIN active e ON e.source = n.id AND e.kind IN ('imports', 'exports') WHERE n.kind = 'namespace' GROUP BY n.id")
+@query("join_16", "SELECT source AS id, min_by(target, edge_id) AS definition FROM active WHERE kind IN ('imports', 'exports') AND source IN (SELECT id FROM nodes WHERE kind = 'namespace') GROUP BY source")
 def _(g, spark, sf):
-    first = g.active.filter("kind IN ('imports', 'exports')").groupBy(F.col("source").alias("id")).agg(F.min_by("target", "edge_id").alias("definition"))
-    return g.nodes.filter("kind = 'namespace'").select("id").join(first, "id", "left").select("id", F.coalesce("definition", "id").alias("definition"))
+    """Namespaces that import something, by what they import first; the others are dropped."""
+    return lookups.definitions(g.active, g.nodes.filter("kind = 'namespace'"))
 
 
 SEGMENTS_SQL = ", seg AS (SELECT DISTINCT unnest(list_filter(string_split(lower(name), '_'), lambda x: length(x) BETWEEN 2 AND 32 AND NOT regexp_full_match(x, '[0-9]+'))) AS segment, name FROM nodes WHERE kind = 'function')"
@@ -119,10 +127,59 @@ def _(g, spark, sf):
     return context.matching_symbols(g.nodes, "ASIA::NATION_2").select("id")
 
 
-@query("sr_28", "SELECT id FROM nodes WHERE contains(lower(name), 'customer') AND contains(lower(file_path), 'machinery') ORDER BY qualified_name, file_path, start_line, id LIMIT 30")
+@query("sr_28", "SELECT id, CAST(CASE WHEN lower(name) = 'order_1' THEN 0 WHEN starts_with(lower(name), 'order_1') THEN 1 WHEN contains(lower(name), 'order_1') THEN 2 ELSE 3 END AS INTEGER) AS stage, FALSE AS exceeded FROM nodes WHERE contains(lower(file_path), 'machinery') AND (contains(lower(name), 'order_1') OR contains(lower(qualified_name), 'order_1')) ORDER BY stage, qualified_name, file_path, start_line, id LIMIT 30")
+def _(g, spark, sf):
+    return explore.workspace_symbols(g.nodes, "order_1", 30, paths=("machinery",))
+
+
+@query("sr_27", ", h AS (SELECT id, qualified_name, file_path, start_line, CAST(CASE WHEN lower(name) = 'order_1' THEN 0 WHEN starts_with(lower(name), 'order_1') THEN 1 WHEN contains(lower(name), 'order_1') THEN 2 ELSE 3 END AS INTEGER) AS stage FROM nodes WHERE contains(lower(name), 'order_1') OR contains(lower(qualified_name), 'order_1')), k AS (SELECT * FROM h ORDER BY stage, id LIMIT 51) SELECT id, stage, (SELECT count(*) FROM h) > 50 AS exceeded FROM k ORDER BY stage, qualified_name, file_path, start_line, id LIMIT 20")
+def _(g, spark, sf):
+    """The same over all files, under a budget of 50 candidates."""
+    return explore.workspace_symbols(g.nodes, "order_1", 20, budget=50)
+
+
+@query("sr_23", "SELECT CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS place, id, file_path, start_line, end_line, language, 'l' || start_line || '...' AS content FROM (SELECT * FROM nodes WHERE kind = 'function' ORDER BY id LIMIT 5)")
+def _(g, spark, sf):
+    """Code blocks of functions, by their first lines; line k of each file reads l<k>..."""
+    files = g.files.select("path", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10_010)), lambda k: F.concat(F.lit("l"), k.cast("string"), F.lit("..."))), "\n").alias("source"))
+    found = g.nodes.filter("kind = 'function'").select("id", F.lit("near").alias("role"), F.lit(1).alias("depth"))
+    return explore.code_blocks(found, g.nodes, files).withColumn("content", F.substring_index("content", "\n", 1))
+
+
+@query("sr_24")
+def _(g, spark, sf):
+    return explore.explore(g.nodes, g.active, "how does the red ring economy part get called")
+
+
+@query("sr_20", "SELECT 'given' AS model, CAST(count(*) AS BIGINT) AS n, CAST(max(len(embedding)) AS INTEGER) AS dims FROM embeddings")
+def _(g, spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.concat(F.lit("function:"), F.col("vec_id").cast("string")).alias("node_id"), F.lit("given").alias("model"), F.size("embedding").alias("dims"), F.col("label").cast("string").alias("input_hash"))
+    model, n, dims, _ = plugins.vector_state(vectors, "given")
+    return spark.createDataFrame([(model, n, dims)], "model string, n long, dims int")
+
+
+@query("src_09", "SELECT id AS node_id, 'hashed-words-16' AS model, CAST(16 AS INTEGER) AS dims, sha256(left(concat_ws(chr(10), concat_ws(' ', kind, name), signature, docstring), 6000)) AS input_hash FROM nodes WHERE kind = 'function'")
+def _(g, spark, sf):
+    inputs = search.embedding_input(g.nodes.filter("kind = 'function'"))
+    return plugins.embed_nodes(inputs, plugins.hashed_words(16)).filter(F.size("vector") == 16).select("node_id", "model", "dims", "input_hash")
+
+
+@query("snk_09", "SELECT vec_id AS node_id, CASE WHEN label >= 5 THEN 'new' ELSE 'old' END AS made, '1' AS version FROM embeddings")
+def _(g, spark, sf):
+    """Vectors written, then those of half the labels again: one row a node, and one version more."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("node_id"), "label")
+    meta = store.VersionedTable(spark, f"{shared_dir(spark)}/meta-{uuid.uuid4().hex}")
+    rows = store.upsert_vectors(vectors.select("node_id", F.lit("old").alias("made")), vectors.filter("label >= 5").select("node_id", F.lit("new").alias("made")), meta)
+    return rows.withColumn("version", F.lit(store.metadata(meta)["vectors_version"]))
+
+
+@query("fl_01_registered", "SELECT 'function:' || p_partkey AS root, CASE WHEN p_partkey % 2 = 0 THEN 'cli' ELSE 'event' END AS entry_kind FROM part")
 def _(g, spark, sf):
-    hits = lookups.gate(g.nodes.filter(F.lower("name").contains("customer")), ["machinery"])
-    return hits.orderBy("qualified_name", "file_path", "start_line", "id").limit(30).select("id")
+    """Each part is a command's action or a listener, registered in a file of its own by a name that is its own."""
+    nodes = g.nodes.filter("kind = 'function'").withColumn("name", F.concat(F.lit("run"), F.regexp_extract("id", "([0-9]+)$", 1)))
+    even = F.regexp_extract("id", "([0-9]+)$", 1).cast("long") % 2 == 0
+    source = F.when(even, F.concat(F.lit("cli.command('c <x>').action("), "name", F.lit(")\n// bus.on('e', run1)"))).otherwise(F.concat(F.lit("bus.on('e', "), "name", F.lit(")")))
+    return catalogs.registered_entries(nodes.select("id", source.alias("source")).withColumnRenamed("id", "path"), nodes)
 
 
 @query("rs_11", ", m AS (SELECT id, qualified_name AS fqn FROM nodes WHERE language = 'java') SELECT o.id AS source, m.id AS target FROM nodes o JOIN m ON m.fqn = regexp_replace(o.qualified_name, '\\.order_.*$', '.order_' || (o.start_line // 10)) WHERE o.kind = 'method' AND o.language = 'java'")
@@ -139,10 +196,6 @@ def _(g, spark, sf):
 
 @query("snk_06", "SELECT id AS flow_id, name FROM nodes WHERE kind = 'class'")
 def _(g, spark, sf):
-    import uuid
-
-    from graphloom.session import shared_dir
-
     table = store.VersionedTable(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
     for kind in ("interface", "class"):
         table.swap(g.nodes.filter(F.col("kind") == kind).select(F.col("id").alias("flow_id"), "name"))
@@ -164,12 +217,15 @@ def _(g, spark, sf):
     return pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query("src_04")
+@query("src_04", "SELECT 'm' || doc_id || '.py' AS file_path, 'f_' || doc_id AS name, 'g_' || (doc_id % 7) AS calls, CAST(1 AS INTEGER) AS start_line, text AS docstring FROM (SELECT doc_id, nullif(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), ' '), '') AS text FROM documents)")
 def _(g, spark, sf):
-    source = F.concat(F.lit("def f_"), F.col("doc_id").cast("string"), F.lit("(x):\n    return g_"), (F.col("doc_id") % 7).cast("string"), F.lit("(x)\n"))
-    files = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), source.alias("source"))
-    nodes, edges, calls = extract.tables(extract.extract(files))
-    return nodes.filter("kind = 'function'").select("id", "name", "start_line", "end_line")
+    """Every document as the docstring of a function that calls another; whole texts go through the parser."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")
+    source = F.concat(F.lit("def f_"), F.col("doc_id").cast("string"), F.lit("(x):\n    '"), plain, F.lit("'\n    return g_"), (F.col("doc_id") % 7).cast("string"), F.lit("(x)\n"))
+    files = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), source.alias("source"))
+    nodes, _, calls = extract.tables(extract.extract(files))
+    called = calls.filter("reference_kind = 'calls'").select(F.col("from_node_id").alias("id"), F.col("reference_name").alias("calls"))
+    return nodes.filter("kind = 'function'").join(called, "id").select("file_path", "name", "calls", "start_line", F.expr("nullif(trim(docstring), '')").alias("docstring"))
 
 
 @query("src_08", "SELECT page_id AS diff_id, CAST(page_id % 50 + 1 AS INTEGER) AS new_start, CAST(page_id % 4 AS INTEGER) AS new_lines FROM pages")
@@ -179,3 +235,11 @@ def _(g, spark, sf):
     hunk = F.concat(F.lit("@@ -1,2 +"), number(F.col("diff_id") % 50 + 1), F.lit(","), number(F.col("diff_id") % 4), F.lit(" @@ x"))
     lines = pages.select("diff_id", F.posexplode(F.array(F.lit("--- a/x.py"), F.lit("+++ b/x.py"), hunk, F.lit("+y"))).alias("line_no", "line"))
     return changes.parse_unified_diff(lines).select("diff_id", "new_start", "new_lines")
+
+
+@query("src_08_status", "SELECT ['M', 'A', 'D', 'R100'][page_id % 4 + 1] AS status, CASE WHEN page_id % 4 <> 1 THEN url END AS old_path, CASE page_id % 4 WHEN 2 THEN NULL WHEN 3 THEN url || '.new' ELSE url END AS new_path, ['modified', 'added', 'deleted', 'renamed'][page_id % 4 + 1] AS change_kind FROM pages")
+def _(g, spark, sf):
+    """Pages as changed files, a fourth of them each way."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    status = F.element_at(F.array(*map(F.lit, ("M", "A", "D", "R100"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return git.parse_name_status(pages.select(F.concat_ws("\t", status, "url", F.when(F.col("page_id") % 4 == 3, F.concat("url", F.lit(".new")))).alias("entry")))
\ No newline at end of file

@@ -20,7 +20,7 @@ from graphloom.functions.columns import base_name
 from graphloom.plugins import REGISTRY
 
 # Extensions.
-LANGUAGES = {"py": "python", "pyi": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "javascript", "go": "go", "java": "java", "kt": "kotlin", "scala": "scala", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "swift": "swift", "m": "objc", "dart": "dart", "lua": "lua", "vue": "vue", "svelte": "svelte", "tf": "terraform"}
+LANGUAGES = {"py": "python", "pyi": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "javascript", "go": "go", "java": "java", "kt": "kotlin", "scala": "scala", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "swift": "swift", "m": "objc", "dart": "dart", "lua": "lua", "vue": "vue", "svelte": "svelte", "astro": "astro", "razor": "razor", "cshtml": "razor", "liquid": "liquid", "tf": "terraform"}
 MOST_BYTES = 1 << 20
 IGNORED = r"(?:^|/)(?:\.git|node_modules|__pycache__|dist|build|target|vendor|\.venv)(?:/|$)"
 DECLARATIONS = (
@@ -122,13 +122,82 @@ def extract_lines(path: str, source: str, language: str) -> dict:
     return out
 
 
+# Files that hold code in blocks, and the language of a block without one of its own.
+MARKUP = {"vue": "javascript", "svelte": "javascript", "astro": "typescript", "razor": "csharp", "liquid": "liquid"}
+BLOCKS = {
+    "vue": re.compile(r"<script\b([^>]*)>(.*?)</script>", re.S | re.I),
+    "svelte": re.compile(r"<script\b([^>]*)>(.*?)</script>", re.S | re.I),
+    "astro": re.compile(r"\A()\s*---\r?\n(.*?)\r?\n---|<script\b([^>]*)>(.*?)</script>", re.S | re.I),
+    "razor": re.compile(r"@(code|functions)\s*\{(.*?)^\}", re.S | re.M),
+}
+TAG = re.compile(r"<([A-Z][\w.]*|[a-z]+(?:-[a-z0-9]+)+)\b")
+INCLUDE = re.compile(r"""\{%-?\s*(?:render|include|section|layout)\s+['"]([^'"]+)""")
+
+
+def extract_markup(path: str, source: str, language: str) -> dict:
+    """Files that mix markup and code: a component, what its code blocks declare and call, at the lines of the file, and the components that its markup uses."""
+    lines = source.count("\n") + 1
+    top = _node(path, language, "file", path.rsplit("/", 1)[-1], path, 1, lines)
+    name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    component = _node(path, language, "component", name, name, 1, lines)
+    out = {"path": path, "nodes": [top, component], "edges": [{"source": top["id"], "target": component["id"], "kind": "contains", "line": 1}], "refs": [], "errors": []}
+    rest = source
+    for m in BLOCKS[language].finditer(source) if language in BLOCKS else ():
+        groups = m.groups()
+        attributes, code, at = (groups[0], groups[1], m.start(2)) if groups[1] is not None else (groups[2], groups[3], m.start(4))
+        inner = "typescript" if re.search(r"lang\s*=\s*[\"']tsx?", attributes or "") else MARKUP[language]
+        skip = source.count("\n", 0, at)
+        found = extract_lines(path, code, inner)
+        owner = {found["nodes"][0]["id"]: component["id"]}
+        for node in found["nodes"][1:]:
+            moved = _node(path, inner, node["kind"], node["name"], f"{name}.{node['name']}", node["start_line"] + skip, node["end_line"] + skip)
+            owner[node["id"]] = moved["id"]
+            out["nodes"].append(moved)
+        out["edges"] += [{"source": owner[e["source"]], "target": owner[e["target"]], "kind": e["kind"], "line": e["line"] + skip} for e in found["edges"]]
+        out["refs"] += [{**r, "from_node_id": owner[r["from_node_id"]], "line": r["line"] + skip} for r in found["refs"]]
+        rest = rest[: m.start()] + re.sub(r"[^\n]", " ", m[0]) + rest[m.end() :]
+    for pattern, kind in ((TAG, "references"), (INCLUDE, "imports")):
+        if kind == "references" or language == "liquid":
+            out["refs"] += [{"from_node_id": component["id"], "reference_name": m[1], "reference_kind": kind, "line": rest.count("\n", 0, m.start()) + 1} for m in pattern.finditer(rest)]
+    return out
+
+
+VALUE = re.compile(r"[(,=:\[]\s*&?([A-Za-z_$][\w$]*(?:::[A-Za-z_]\w*)?)\s*(?=[,)\];}]|$)")
+
+
+def function_values(out: dict, source: str) -> dict:
+    """Adds a reference of kind function_ref wherever a function or method of the file is passed, stored or listed without being called, once for each place."""
+    known = {n["name"] for n in out["nodes"] if n["kind"] in ("function", "method")}
+    owners = sorted((n for n in out["nodes"] if n["kind"] != "file"), key=lambda n: (n["end_line"] - n["start_line"], n["id"]))
+    top = out["nodes"][0]["id"] if out["nodes"] else None
+    seen = set()
+    for number, line in enumerate(source.splitlines() if known else (), 1):
+        if re.match(r"\s*(?:import|export\s*\{|from|def|function|//|#)", line):
+            continue
+        for m in VALUE.finditer(line):
+            name = m[1]
+            if name.rsplit("::", 1)[-1] in known and (name, number) not in seen:
+                seen.add((name, number))
+                owner = next((n["id"] for n in owners if n["start_line"] <= number <= n["end_line"]), top)
+                out["refs"].append({"from_node_id": owner, "reference_name": name, "reference_kind": "function_ref", "line": number})
+    return out
+
+
+def extract_file(path: str, source: str, language: str) -> dict:
+    if language == "python":
+        return function_values(extract_python(path, source), source)
+    if language in MARKUP:
+        return extract_markup(path, source, language)
+    return function_values(extract_lines(path, source, language), source)
+
+
 def extract(files: DataFrame) -> DataFrame:
     """One row per file (path, source): its nodes, edges, references and errors; by the registered extractor of its language, where there is one."""
     added = dict(REGISTRY.extractors)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [added[lang](p, s or "") if lang in added else extract_python(p, s or "") if lang == "python" else extract_lines(p, s or "", lang) for p, s, lang in zip(pdf["path"], pdf["source"], pdf["language"])]
+            rows = [added[lang](p, s or "") if lang in added else extract_file(p, s or "", lang) for p, s, lang in zip(pdf["path"], pdf["source"], pdf["language"])]
             yield pd.DataFrame(rows, columns=["path", "nodes", "edges", "refs", "errors"])
 
     return files.select("path", "source", language_of(F.col("path")).alias("language")).mapInPandas(each, EXTRACTED)

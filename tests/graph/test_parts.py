@@ -112,7 +112,7 @@ def test_plug_ins(spark):
     assert [r.node_id for r in plugins.embed_nodes(inputs, provider, known).collect()] == ["n4"]
     state = plugins.vector_state(vectors, provider.model)
     changed = vectors.withColumn("input_hash", F.when(F.col("node_id") == "n1", "new").otherwise(F.col("input_hash")))
-    assert state[:3] == (provider.model, 10, 8) and plugins.vector_state(changed, provider.model)[3] != state[3] == plugins.vector_state(vectors.orderBy("input"), provider.model)[3]
+    assert state[:3] == (provider.model, 10, 8) and plugins.vector_state(changed, provider.model)[3] != state[3] == plugins.vector_state(vectors.orderBy(F.desc("node_id")), provider.model)[3]
     assert plugins.vector_state(vectors, "other")[1:3] == (0, 0)
     members = spark.createDataFrame([("c", "b/x"), ("c", "a/y"), ("d", "z")], "community string, path string")
     label = lambda paths: paths[0] if len(paths) > 1 else 1 / 0
