@@ -56,9 +56,9 @@ FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 #: Labelled rows that the calibration uses at most, about.
 CALIBRATION_ROWS = 20_000
 #: Distinct pairs that a task holds before it ships them; bytes of labelled text for a segment of pairs, and the fewest segments.
-FLUSH_PAIRS, SEGMENT_BYTES, LEAST_SEGMENTS = 1_000_000, 8 << 20, 64
+FLUSH_PAIRS, SEGMENT_BYTES, LEAST_SEGMENTS = 500_000, 4 << 20, 64
 #: Entries of a portion of the model (some 12 bytes each), portions that a worker keeps, and tokens that it holds while it goes through more.
-PORTION, KEPT_PORTIONS, HELD_TOKENS = 2_000_000, 3, 2_000_000
+PORTION, KEPT_PORTIONS, HELD_TOKENS = 500_000, 6, 1_000_000
 EDGES = ".,;:!?|#$%&*\"'()[]{}<>«»„“”‘’…-_/\\=+~^`"
 START = np.uint64(0x5354415254)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -260,6 +260,7 @@ class Counts:
         for r in blobs.toLocalIterator():
             keys = np.frombuffer(r["keys"], np.uint64)
             (out.words if r["kind"] == WORD else out.pairs).append(context.broadcast((keys, np.frombuffer(r["numbers"], np.float32).reshape(len(keys), -1))))
+            del r, keys
         discard(words, table, blobs)
         return out
 
