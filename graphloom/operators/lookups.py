@@ -33,7 +33,7 @@ def exact_names(nodes: DataFrame, names: list[str], limit: int = 50, boost: floa
     low = F.lower("name")
     hits = nodes.filter(low.isin(*[n.lower() for n in names])).withColumn("low", low)
     files = hits.groupBy("low").agg(F.countDistinct("file_path").alias("n")).filter("n < 10").select("low")
-    distinctive = hits.join(F.broadcast(files), "low", "left_semi").select("file_path").distinct().withColumn("near", F.lit(boost))
+    distinctive = hits.join(files, "low", "left_semi").select("file_path").distinct().withColumn("near", F.lit(boost))
     scored = hits.join(distinctive, "file_path", "left").withColumn("score", 1.0 + F.coalesce("near", F.lit(0.0)))
     keep = max(8, -(-limit // len(names)))
     ranked = scored.withColumn("nth", F.row_number().over(Window.partitionBy("low").orderBy(F.desc("score"), "id"))).filter(F.col("nth") <= keep)
@@ -95,13 +95,18 @@ def stale_files(stored: DataFrame, seen: DataFrame) -> DataFrame:
     return stored.select("path", F.col("content_hash").alias("was")).join(seen, "path").filter("was <> content_hash").select("path")
 
 
-def dominant_file(nodes: DataFrame, edges: DataFrame, most: int = 20, least: int = 20) -> DataFrame:
-    """(file_path, edge_count, next_edge_count) of the file with most edges within it: of the first `most` files those of low value go, and the first that is left needs `least` edges; no row otherwise."""
+def inner_edge_counts(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """(file_path, edge_count) of the `most` files with most edges within them, without those of low value among these."""
     places = nodes.select("id", "file_path")
     inside = edges.join(places.toDF("source", "file_path"), "source").join(places.toDF("target", "target_file"), "target").filter("file_path = target_file")
     top = inside.groupBy("file_path").agg(F.count(F.lit(1)).alias("edge_count")).orderBy(F.desc("edge_count"), "file_path").limit(most)
+    return top.filter(~is_low_value_file(F.col("file_path")))
+
+
+def dominant_file(nodes: DataFrame, edges: DataFrame, most: int = 20, least: int = 20) -> DataFrame:
+    """(file_path, edge_count, next_edge_count) of the file with most edges within it: of the first `most` files those of low value go, and the first that is left needs `least` edges; no row otherwise."""
     order = Window.orderBy(F.desc("edge_count"), "file_path")  # over `most` rows
-    left = top.filter(~is_low_value_file(F.col("file_path"))).select("file_path", "edge_count", F.coalesce(F.lead("edge_count").over(order), F.lit(0)).alias("next_edge_count"), F.row_number().over(order).alias("nth"))
+    left = inner_edge_counts(nodes, edges, most).select("file_path", "edge_count", F.coalesce(F.lead("edge_count").over(order), F.lit(0)).alias("next_edge_count"), F.row_number().over(order).alias("nth"))
     return left.filter((F.col("nth") == 1) & (F.col("edge_count") >= least)).drop("nth")
 
 

@@ -32,7 +32,7 @@ def _(g, spark, sf):
 @query("flt_03", "SELECT id, start_line, end_line FROM nodes WHERE file_path = (SELECT file_path FROM nodes WHERE id = 'class:c7')")
 def _(g, spark, sf):
     path = g.nodes.filter(F.col("id") == CLASS).select("file_path")
-    return g.nodes.join(F.broadcast(path), "file_path", "left_semi").orderBy("start_line", "id").select("id", "start_line", "end_line")
+    return g.nodes.join(path, "file_path", "left_semi").orderBy("start_line", "id").select("id", "start_line", "end_line")
 
 
 @query("flt_04", "SELECT id, 'prefix' AS rule FROM (SELECT id FROM nodes WHERE name >= 'order_1' AND name < 'order_2' ORDER BY name, id LIMIT 20) UNION ALL SELECT id, 'lower' FROM nodes WHERE lower(name) = 'nation_3' UNION ALL SELECT id, 'qualified' FROM nodes WHERE qualified_name = 'AMERICA.NATION_1'")
@@ -341,7 +341,7 @@ def _(g, spark, sf):
 
 @query("win_04", IN_FILE_SQL + " SELECT file_path, CAST(n AS BIGINT) AS n, coalesce(n >= 3 * lead(n) OVER (ORDER BY n DESC, file_path), FALSE) AS dominant FROM top")
 def _(g, spark, sf):
-    return in_file_counts(g).select("file_path", "n", F.coalesce(F.col("n") >= 3 * F.lead("n").over(Window.orderBy(F.desc("n"), "file_path")), F.lit(False)).alias("dominant"))
+    return lookups.inner_edge_counts(g.nodes, g.active).withColumnRenamed("edge_count", "n").select("file_path", "n", F.coalesce(F.col("n") >= 3 * F.lead("n").over(Window.orderBy(F.desc("n"), "file_path")), F.lit(False)).alias("dominant"))
 
 
 @query("win_06", "SELECT CAST(1 AS BIGINT) AS diff_id, 'a.py' AS new_path, 3 AS old_start, 2 AS old_lines, 3 AS new_start, 1 AS new_lines UNION ALL SELECT 1, 'a.py', 10, 1, 9, 4 UNION ALL SELECT 1, NULL, 1, 7, 0, 0")

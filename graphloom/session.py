@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that are broadcast at most where a hint asks for it.
-BROADCAST_ROWS = 500_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where it is unset, a folder of this machine for a local master; on a cluster executors would not share it, so that is an error."""

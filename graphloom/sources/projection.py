@@ -53,11 +53,11 @@ def _text(name: str) -> Column:
 def graph_projection(spark: SparkSession, sf_dir: str) -> Graph:
     table = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     region, nation = table("region"), table("nation")
-    places = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     language = F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), (F.col("r_regionkey") % 5 + 1).cast("int"))
     folder = F.concat_ws("/", "r_name", "n_name")
-    customer = table("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
-    supplier = table("supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
+    customer = table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    supplier = table("supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey"))
     part, orders, lineitem = table("part"), table("orders"), table("lineitem")
     customer_path = F.concat(folder, F.lit("/"), F.lower("c_mktsegment"), F.lit(".ts"))
     owned = orders.join(customer.select("c_custkey", "c_name", "r_regionkey", customer_path.alias("path")), F.col("o_custkey") == F.col("c_custkey"))
