@@ -286,8 +286,8 @@ def circular_files(dependencies: DataFrame) -> DataFrame:
     return out.join(sizes, "component", "left_semi").select("path", "component")
 
 
-def random_walk(edges: DataFrame, ids: DataFrame, seeds: DataFrame, restart: float = 0.25, rounds: int = 25, cut_every: int = 8) -> DataFrame:
-    """(id, score): random walk with restart over the undirected rank edges between ids; parallel edges count each, a node without edges keeps its mass."""
+def random_walk(edges: DataFrame, ids: DataFrame, seeds: DataFrame, restart: float = 0.25, rounds: int = 25, cut_every: int = 2) -> DataFrame:
+    """(id, score): random walk with restart over the undirected rank edges between ids; parallel edges count each, a node without edges keeps its mass. A round reads the scores twice, so they are written every other round."""
     known = materialise(ids.select("id").distinct(), "walk")
     links = edges.filter(F.col("kind").isin(*RANK_KINDS)).select("source", "target").join(known.toDF("source"), "source", "left_semi").join(known.toDF("target"), "target", "left_semi")
     links = materialise(links.select("source", "target").union(links.select(F.col("target").alias("source"), F.col("source").alias("target"))), "walk")
