@@ -65,14 +65,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
         begin = end
 
 
-def text_parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def text_parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in slices. Slices are copies, and no batch is held while the next one is read, so a worker never has two."""
     batches = iter(batches)
     while True:
         batch = next(batches, None)
         if batch is None:
             return
-        for part in text_slices(batch, column):
+        for part in text_slices(batch, column, most):
             part = part.take(pa.array(np.arange(part.num_rows)))
             yield part
             del part

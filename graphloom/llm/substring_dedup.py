@@ -58,9 +58,9 @@ from graphloom.llm.common import id_and_text, join_groups, mix, text_parts, with
 WINDOW, GRAM = 50, 20
 LONGEST_RUN = 48
 #: Bytes hashed at a time; longer texts are read in chunks that overlap by a window.
-CHUNK = 512 << 10
+CHUNK = 256 << 10
 #: Stretches that a task sorts at a time before it ships them.
-FLUSH_STRETCHES = 400_000
+FLUSH_STRETCHES = 250_000
 #: Bytes of text whose stretches make a segment, about, and the fewest segments.
 SEGMENT_BYTES, LEAST_SEGMENTS = 8 << 20, 256
 #: Different stretches of an anchor in one flush beyond which it is common.
@@ -69,6 +69,8 @@ LOCAL_CONTENTS = 64
 WHOLE_STRETCHES, BUCKET_STRETCHES = 1_000, 200
 #: Stretches whose suffixes are sorted at a time, about.
 SORTED_STRETCHES = 10_000
+#: Bytes of text whose stretches are cut at a time.
+CUT_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
 MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLY[0])
@@ -456,7 +458,7 @@ def contexts(mixed: DataFrame, keyed: DataFrame) -> DataFrame:
     both = texts.select(F.col("doc_id").alias("order"), "print", "text").dropDuplicates(["order", "print"]).join(places, ["order", "print"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_parts(batches):
+        for part in text_parts(batches, most=CUT_BYTES):
             out: list[tuple] = []
             windows = Windows()
             for order, mark, text, where in zip(*(part.column(c).to_pylist() for c in ("order", "print", "text", "places"))):
