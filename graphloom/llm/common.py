@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -65,12 +66,21 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
         begin = end
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks, and would hold what the largest one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def text_parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in slices. Slices are copies, and no batch is held while the next one is read, so a worker never has two."""
     batches = iter(batches)
     while True:
         batch = next(batches, None)
         if batch is None:
+            give_back()
             return
         for part in text_slices(batch, column, most):
             part = part.take(pa.array(np.arange(part.num_rows)))
