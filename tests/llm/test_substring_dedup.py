@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from graphloom.llm import common
 from graphloom.llm import substring_dedup as sub
 
 W = sub.WINDOW
@@ -89,3 +90,26 @@ def test_empty_and_output_bytes(make_docs):
     p = "é" * 40
     got = {r.doc_id: bytes(r.data) for r in sub.deduplicate(make_docs([(1, p), (2, "12 " + p + "34")])).collect()}
     assert got == {1: p.encode(), 2: b"12 34"}
+
+
+def test_texts_are_shuffled_once_where_ids_are_not_broadcast(make_docs, spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(sub, "WHOLE_STRETCHES", 5)
+    docs = make_docs(corpus(11), ["print", "order", "hit"])
+    exchanges = lambda df: sum("Exchange" in line and "SinglePartition" not in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+    out = sub.removal_digests(docs)
+    assert got_of(out) == sorted(brute(corpus(11)), key=str)
+    assert exchanges(out) <= 2  # the texts and their spans
+    mixed = spark.createDataFrame([(1, 2, 0, 60, 5)], "order long, print long, start int, end int, anchor long")
+    placed = sub.contexts(mixed, sub.doc_keys(docs))
+    assert exchanges(placed) <= 2  # the texts and their places
+
+
+def test_settled_windows_are_merged_by_document():
+    windows = sub.Windows()
+    for order in (1, 2):
+        for start in range(40):
+            windows.add(7, 0, order, 9, start, b"%050d" % start)
+    rows = windows.rows()
+    assert [r for r in rows if r[1] < 0] == [(0, -1, 2, 9, [0, 39 + W], b"")]
+    assert sorted(r[4] for r in rows if r[1] == 0) == [[k] for k in range(40)] and all(r[2] == 1 for r in rows if r[1] == 0)
