@@ -21,8 +21,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
 def language_gate() -> Column:
     """Candidates of another known language family are out."""
-    ours, theirs = language_family(F.col("language")), language_family(F.col("target_language"))
-    return ours.isNull() | theirs.isNull() | (ours == theirs)
+    return gate(F.col("language"), F.col("target_language"))
 
 
 def gate_families(language: Column) -> Column:
@@ -94,18 +93,20 @@ def by_qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def by_lower_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The only callable of that name in any case: .5, .3 in another language."""
-    pool = _candidates(nodes.filter(F.col("kind").isin(*CALLABLE)))
-    joined = refs.join(pool, F.lower("reference_name") == F.lower("target_name")).filter(language_gate())
-    per_ref = Window.partitionBy("ref_id")
-    same = F.col("target_language") == F.col("language")
-    kept = joined.withColumn("any_same", F.max(same).over(per_ref)).filter(~F.col("any_same") | same).withColumn("n", F.count(F.lit(1)).over(per_ref)).filter("n = 1")
-    return kept.select("ref_id", "target", F.when(same, 0.5).otherwise(0.3).alias("confidence"), F.lit("fuzzy").alias("resolved_by"))
-
-
-def resolve(refs: DataFrame, nodes: DataFrame, files: DataFrame, more: list[DataFrame] = ()) -> DataFrame:
-    """The best answer of all strategies: by confidence, then by the order of strategies. more: answers (ref_id, target, confidence, resolved_by) of imports, receivers or frameworks, which come first."""
-    strategies = [*more, by_file_path(refs.filter(F.col("reference_name").contains("/")), files), by_qualified_name(refs, nodes), by_exact_name(refs, nodes), by_lower_name(refs, nodes)]
+    """The only callable of that name in any case: .5, .3 in another language. Candidates are counted by name and language, and a reference meets the counts of its name, so no pair of reference and candidate is made."""
+    pool = _candidates(nodes.filter(F.col("kind").isin(*CALLABLE))).select(F.lower("target_name").alias("low"), "target_language", "target")
+    counted = pool.repartition("low").groupBy("low", "target_language").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target"))
+    names = counted.groupBy("low").agg(F.collect_list(F.struct("target_language", "n", "target")).alias("counts"))
+    joined = refs.select("ref_id", "language", F.lower("reference_name").alias("low")).join(names, "low").withColumn("counts", F.filter("counts", lambda c: gate(F.col("language"), c["target_language"])))
+    same = lambda c: c["target_language"] == F.col("language")
+    known = F.array_max(F.transform("counts", same))
+    kept = joined.withColumn("any_same", known).withColumn("counts", F.filter("counts", lambda c: ~F.col("any_same") | same(c))).filter(F.size("counts") == 1).filter(F.col("counts")[0]["n"] == 1)
+    return kept.select("ref_id", F.col("counts")[0]["target"].alias("target"), F.when(F.col("any_same"), 0.5).otherwise(0.3).alias("confidence"), F.lit("fuzzy").alias("resolved_by"))
+
+
+def resolve(refs: DataFrame, nodes: DataFrame, files: DataFrame, more: list[DataFrame] = (), most: int | None = AMBIGUOUS) -> DataFrame:
+    """The best answer of all strategies: by confidence, then by the order of strategies. most: as for by_exact_name. more: answers (ref_id, target, confidence, resolved_by) of imports, receivers or frameworks, which come first."""
+    strategies = [*more, by_file_path(refs.filter(F.col("reference_name").contains("/")), files), by_qualified_name(refs, nodes), by_exact_name(refs, nodes, most), by_lower_name(refs, nodes)]
     found = reduce(DataFrame.unionByName, [s.withColumn("place", F.lit(k)) for k, s in enumerate(strategies)])
     return found.withColumn("nth", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("confidence"), "place", "target"))).filter("nth = 1").drop("nth", "place")
 
