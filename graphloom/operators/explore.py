@@ -24,11 +24,23 @@ def slices(files: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.withColumn("content", F.array_join(part, "\n")).drop("source")
 
 
+def with_text(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans (file_path, start_line, end_line, ...) whose slice of their file is not empty, found without moving a file's text: two lines or more always hold something, and a single one does if it is not blank."""
+    lines = F.split("source", "\r?\n")
+    sizes = files.select(F.col("path").alias("file_path"), F.size(lines).alias("n_lines"))
+    first, last = F.greatest(F.col("start_line"), F.lit(1)), F.least(F.col("end_line"), F.col("n_lines"))
+    rows = spans.join(sizes, "file_path").withColumn("only", F.when(last == first, first)).withColumn("taken", last - first + 1).filter("taken > 0").drop("n_lines", "taken")
+    alone = rows.filter("only IS NOT NULL").select("file_path", "only").distinct()
+    blank = files.join(alone.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi").select(F.col("path").alias("file_path"), F.posexplode(lines).alias("at", "line")).filter("line = ''").select("file_path", (F.col("at") + 1).alias("only"))
+    return rows.join(blank, ["file_path", "only"], "left_anti").drop("only")
+
+
 def code_blocks(found: DataFrame, nodes: DataFrame, files: DataFrame, most: int = 5, size: int = 1500) -> DataFrame:
-    """(place, id, file_path, start_line, end_line, language, content) of the first blocks of found (id, role, depth): entry points, then functions and methods, then classes; empty ones do not count, long ones are cut at `size` characters."""
+    """(place, id, file_path, start_line, end_line, language, content) of the first blocks of found (id, role, depth): entry points, then functions and methods, then classes; empty ones do not count, long ones are cut at `size` characters. Only the blocks shown are joined with the text of their files."""
     rank = F.when(F.col("role") == "entry", 0).when(F.col("kind").isin("function", "method"), 1).when(F.col("kind") == "class", 2)
     rows = found.join(nodes.select("id", "kind", "file_path", "start_line", "end_line", "language"), "id").withColumn("rank", rank).filter("rank IS NOT NULL")
-    first = slices(files, rows).filter("content <> ''").orderBy("rank", "depth", "id").limit(most)
+    shown = with_text(files, rows).orderBy("rank", "depth", "id").limit(most)
+    first = slices(files, shown)
     cut = F.when(F.length("content") > size, F.concat(F.substring("content", 1, size), F.lit(CUT))).otherwise(F.col("content"))
     order = Window.orderBy("rank", "depth", "id")  # over `most` rows
     return first.select(F.row_number().over(order).alias("place"), "id", "file_path", "start_line", "end_line", "language", cut.alias("content"))
@@ -79,13 +91,14 @@ def explore(nodes: DataFrame, edges: DataFrame, question: str, max_files: int =
     return top.select(F.row_number().over(Window.orderBy(*order)).alias("place"), "file_path", tier.alias("tier"), "score", "symbols")
 
 
-def workspace_symbols(nodes: DataFrame, text: str, limit: int = 100, budget: int = 20_000, kinds: tuple[str, ...] = (), languages: tuple[str, ...] = (), paths: tuple[str, ...] = ()) -> DataFrame:
+def workspace_symbols(nodes: DataFrame, text: str, limit: int = 100, budget: int | None = 20_000, kinds: tuple[str, ...] = (), languages: tuple[str, ...] = (), paths: tuple[str, ...] = ()) -> DataFrame:
     """(id, stage, exceeded) of an editor's symbol search.
 
     Filters hold before any cap. Stages: 0 for equal names, 1 for prefixes, 2
     for names with the text inside, 3 for qualified names; ties by qualified
     name, file, line, id. Candidates beyond `budget` are counted but not
-    ordered: exceeded says so, and the first `budget` by stage and id are kept.
+    ordered: exceeded says so, and the first `budget` by stage and id are kept. Without
+    a budget all candidates are ordered: a top-k per task, merged.
     """
     pool = nodes
     for column, wanted in (("kind", kinds), ("language", languages)):
@@ -95,6 +108,8 @@ def workspace_symbols(nodes: DataFrame, text: str, limit: int = 100, budget: int
     low, name = text.lower(), F.lower("name")
     stage = F.when(name == low, 0).when(name.startswith(low), 1).when(name.contains(low), 2).when(F.lower("qualified_name").contains(low), 3)
     hits = pool.select("id", "qualified_name", "file_path", "start_line", stage.alias("stage")).filter("stage IS NOT NULL")
+    if budget is None:
+        return hits.orderBy("stage", "qualified_name", "file_path", "start_line", "id").limit(limit).select("id", "stage", F.lit(False).alias("exceeded"))
     kept = hits.orderBy("stage", "id").limit(budget + 1)
     exceeded = F.count(F.lit(1)).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > budget  # over `budget` rows
     return kept.withColumn("exceeded", exceeded).orderBy("stage", "qualified_name", "file_path", "start_line", "id").limit(limit).select("id", "stage", "exceeded")

@@ -93,3 +93,65 @@ def test_best_candidates_against_all_pairs(spark, seed):
 def test_scopes_are_those_of_the_pairs(spark):
     nodes = spark.createDataFrame([("o", "function", "o", "o", "f.py", "python", 1, 9, True), ("i", "function", "i", "o.i", "f.py", "python", 3, 4, True), ("m", "method", "i", "o.i", "f.py", "python", 3, 4, True)], NODE)
     assert {r.target: r.scopes and [tuple(s) for s in r.scopes] for r in receivers.with_scopes(resolve._candidates(nodes), nodes).collect()} == {"o": None, "i": [(1, 9)], "m": None}
+
+
+def test_parts_grow_with_what_is_read(spark, tmp_path, monkeypatch):
+    from graphloom import session
+
+    spark.range(100_000).selectExpr("id", "uuid() AS x").write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    assert session.pieces(rows) == 4 and session.pieces(spark.createDataFrame([(1,)], "id int")) == 4
+    monkeypatch.setattr(session, "PIECE", 200_000)
+    assert 10 < session.pieces(rows) < 60 and session.pieces(rows.crossJoin(rows)) <= 2 * session.pieces(rows)
+    assert session.spread(rows, "id").rdd.getNumPartitions() == session.pieces(rows)
+
+
+def test_callers_shuffle_no_pairs(spark):
+    from graphloom.operators import changes
+
+    edges = [(k, f"m{k % 40}", f"f{k % 30}", "calls") for k in range(1200)] + [(9000 + k, f"f{k % 30}", f"s{k}", "references") for k in range(300)]
+    table = spark.createDataFrame(edges, "edge_id long, source string, target string, kind string")
+    found = changes.caller_impact(table, spark.createDataFrame([(f"s{k}",) for k in range(300)], "id string"), 2)
+    near = {}
+    for _, a, b, _ in edges:
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for s in (f"s{k}" for k in range(300)):
+        for a in near.get(s, ()):
+            want[s, a] = 1
+            for b in near.get(a, ()):
+                want.setdefault((s, b), 2)
+    assert {(r.symbol, r.caller): r.depth for r in found.collect()} == want
+    assert joined_rows(found) <= 1500 < len(want)
+
+
+def test_blocks_are_found_before_texts_are_read(spark):
+    from graphloom.operators import explore
+
+    nodes = spark.createDataFrame([(f"n{k:03}", "function", "n", "n", f"f{k % 2}", "python", k, k, True) for k in range(1, 201)], NODE)
+    files = spark.createDataFrame([("f0", "\n".join("" if k % 3 else f"line {k}" for k in range(1, 150))), ("f1", "\n" * 300)], "path string, source string")
+    found = nodes.selectExpr("id", "'near' AS role", "1 AS depth")
+    blocks = explore.code_blocks(found, nodes, files)
+    got = [(r.place, r.id, r.content) for r in blocks.collect()]
+    assert got == [(p, f"n{k:03}", f"line {k}") for p, k in enumerate((6, 12, 18, 24, 30), 1)]
+    texts = explore.with_text(files, found.join(nodes.select("id", "file_path", "start_line", "end_line"), "id"))
+    assert texts.count() == 24 and "source" not in texts.columns
+
+
+def test_workspace_without_a_budget(spark):
+    from graphloom.operators import explore
+
+    nodes = spark.createDataFrame([(f"n{k}", "function", f"ab{k}", f"q{999 - k}", "f.py", "python", k, k, True) for k in range(50)], NODE)
+    got = explore.workspace_symbols(nodes, "ab", 3, None).collect()
+    assert [(r.id, r.stage, r.exceeded) for r in got] == [("n49", 1, False), ("n48", 1, False), ("n47", 1, False)]
+    assert explore.workspace_symbols(nodes, "ab", 3, 10).first().exceeded
+
+
+@pytest.mark.parametrize("most", [0, 1, 6, 7, 8, None])
+def test_hierarchies_to_a_depth(spark, most):
+    from graphloom.operators import traversal
+
+    edges = spark.createDataFrame([(k, f"c{k}", f"c{k + 1}", "extends") for k in range(20)], "edge_id long, source string, target string, kind string")
+    root = spark.createDataFrame([("c10",)], "id string")
+    got = {(r.id, r.depth) for r in (traversal.type_hierarchy(edges, root) if most is None else traversal.type_hierarchy(edges, root, max_depth=most)).collect()}
+    assert got == {(f"c{10 + d}", abs(d)) for d in range(-10, 11) if most is None or abs(d) <= most}
