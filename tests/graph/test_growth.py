@@ -109,7 +109,7 @@ def test_parts_grow_with_what_is_read(spark, tmp_path, monkeypatch):
 def test_callers_shuffle_no_pairs(spark):
     from graphloom.operators import changes
 
-    edges = [(k, f"m{k % 40}", f"f{k % 30}", "calls") for k in range(1200)] + [(9000 + k, f"f{k % 30}", f"s{k}", "references") for k in range(300)]
+    edges = [(k, f"m{k % 40}", f"f{k // 40}", "calls") for k in range(1200)] + [(9000 + k, f"f{k % 30}", f"s{k}", "references") for k in range(300)]
     table = spark.createDataFrame(edges, "edge_id long, source string, target string, kind string")
     found = changes.caller_impact(table, spark.createDataFrame([(f"s{k}",) for k in range(300)], "id string"), 2)
     near = {}
