@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.session import materialise
+
 EDGE_IDENTITY = ("source", "target", "kind", "line", "col")
 
 
@@ -37,8 +39,8 @@ def insert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFram
 
 
 def cascade(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose two ends still exist."""
-    ids = nodes.select("id")
+    """Edges whose two ends still exist. The ids that do are written once for both ends."""
+    ids = materialise(nodes.select("id"), "ids")
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
 
 
